@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 SALTS = 32
 
@@ -52,16 +52,18 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.max("group_size").alias("group_size"),
         F.array_distinct(F.flatten(F.collect_list("salts"))).alias("salts"),
     )
+    # without texts, so narrow; written, as otherwise a second use would shuffle all texts again
+    by_digest = materialize(by_digest, "digests")
     single = by_digest.where("contents = 1").select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size")
     found = rows.drop("body").join(single, ["digest", "salt"]).select("doc_id", "digest", "keep_id", "group_size")
-    # Different texts with one SHA-256 digest: none are known to exist, so this is a broadcast of no rows.
-    shared = F.broadcast(by_digest.where("contents > 1").select("digest"))
-    collided = (
-        rows.join(shared, "digest", "left_semi")
-        .join(winners.join(shared, "digest", "left_semi").drop("salts"), ["digest", "body"])
-        .select("doc_id", "digest", "keep_id", "group_size")
-    )
-    return found.union(collided).select(
+    collisions = by_digest.where("contents > 1").select("digest")
+    if not collisions.isEmpty():  # different texts with one SHA-256 digest: their documents go by content
+        found = found.union(
+            rows.join(collisions, "digest", "left_semi")
+            .join(winners.join(collisions, "digest", "left_semi").drop("salts"), ["digest", "body"])
+            .select("doc_id", "digest", "keep_id", "group_size")
+        )
+    return found.select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
