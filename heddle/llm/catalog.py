@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_count, bpe_duckdb, exact_dedup, importance, langid, line_dedup, packing, quality_rules, wrappers
+from . import bpe_count, bpe_duckdb, exact_dedup, importance, jaccard_join, langid, line_dedup, packing, quality_rules, wrappers
 
 QUERIES = {
     "op1_importance_resampling": importance.query,
     "op2_best_fit_packing": packing.query,
     "op3_html_main_text": wrappers.query,
+    "op4_shingle_jaccard_join": jaccard_join.query,
     "op5_fuzzy_line_dedup": line_dedup.query,
     "op6_language_id": langid.query,
     "op7_byte_bpe_codec": bpe_duckdb.query,

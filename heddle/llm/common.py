@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -109,6 +110,52 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.union(roots).distinct()
 
 
+def bucket_components(members: DataFrame, near, verify, hub_rounds: int = 2) -> DataFrame:
+    """Components of the nodes that share a bucket, are ``near`` and pass ``verify``.
+
+    ``members`` is a written table of ``key``, ``node`` and what ``near`` needs.
+    ``near(x, y)`` is a Column over two aliases of it; ``verify(pairs)`` returns
+    those of the pairs ``(a, b)`` that are linked, as a written table.
+
+    Buckets aren't expanded into all their pairs.  In each hub round, a bucket's
+    members are compared with one of them; then only members that are still in
+    different components are compared with each other, so no link is lost.
+    Returns ``(node, component)`` for nodes with a link.
+    """
+    links = labels = None
+    for k in range(hub_rounds + 1):
+        if labels is None:
+            now = members.withColumn("label", F.col("node"))
+        else:
+            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        pick = F.min if k % 2 == 0 else F.max
+        rest = [c for c in now.columns if c != "key"]
+        hubs = now.groupBy("key").agg(pick(F.struct("node", *[c for c in rest if c != "node"])).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        hubs = hubs.where("lo <> hi").select("key", "hub.*")
+        if k < hub_rounds:
+            pairs = now.alias("x").join(hubs.alias("y"), "key").where("x.label <> y.label")
+        else:
+            mixed = materialize(now.join(hubs.select("key"), "key", "left_semi"), "mixed")
+            if mixed.isEmpty():
+                break
+            pairs = mixed.alias("x").join(mixed.alias("y"), "key").where("x.label < y.label")
+        pairs = pairs.where(near("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs = materialize(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            if k < hub_rounds and labels is not None:
+                continue
+        new = verify(pairs)
+        links = new if links is None else links.union(new)
+        labels = materialize(connected(links), "labels")
+    return labels
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string")) % mod
 

@@ -130,7 +130,8 @@ def classify(docs: DataFrame, labels: DataFrame | None, share: float | None = No
 
     ``labels`` has ``doc_id``, ``quality`` and ``toxic``; the target is what has
     quality 1 and isn't toxic.  The ``k = ceil(share * rows)`` largest keys are
-    kept, ``share`` being that of quality 1 among the labels unless given; rows
+    kept, ``share`` being that of quality 1 among the labels and two standard
+    errors of it, so as to spare good documents, unless given; rows
     that tie with the k-th (repeated rows do) are kept too.  Null and empty
     texts have no n-grams and log weight 0.  Null ids draw the noise of id 0.
     Labels with nulls, or of documents that aren't there, have no effect.
@@ -143,7 +144,8 @@ def classify(docs: DataFrame, labels: DataFrame | None, share: float | None = No
         ids = {r["doc_id"] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).collect()}
         if share is None:
             n, n_good = marks.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
-            share = n_good / n if n else None
+            if n:
+                share = min(1.0, n_good / n + 2 * math.sqrt(n_good * (n - n_good) / n**3))
     share = DEFAULT_SHARE if share is None else share
     ratio = log_ratio(*fit(rows, ids))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
