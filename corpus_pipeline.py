@@ -1,11 +1,75 @@
-"""A pipeline over ``documents``; its stages are filled in as their operators come."""
+"""A training-data pipeline over ``documents``: five stages, each one operator.
 
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its
+predecessor kept; all but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle.llm import jaccard_join, langid, line_dedup, packing, quality_rules
+from heddle.llm.common import materialize, table
+
+#: An ambiguous language is a ground for rejection only below this score.
+LEAST_SCORE = 0.30
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """``docs`` with its rows also as one struct, whose name can't clash with theirs."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), *(docs[c] for c in ("doc_id", "text", "lang")))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a language: null, without letters, or ambiguous with a low score."""
+    fold = langid.crc_mod(docs["doc_id"], 4)
+    model = langid.train(docs.where(fold != 2).select("text", "lang"))
+    found = langid.predict(_whole(docs), model, ("_row",))
+    rejected = (F.col("lang_pred") == "und") | (F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
+    return found.where(~rejected).select("_row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or diverge from their language's reference."""
+    return quality_rules.judge(_whole(docs), keep=("_row",)).where("kept").select("_row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one occurrence of each group of near-equal lines; documents stay, with what is left of their text."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the document of the smallest id of each group of near duplicates."""
+    groups = jaccard_join.near_duplicates(docs)
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("packing", packed),
+]
+
+#: Tokenizers, trained classifiers and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what passes from one to the next is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, own, table
+from .common import materialize, table
 
 #: Words of a language's histogram, apart from one place for all others; languages with a reference.
 COMMON, MOST_LANGUAGES = 100, 64
@@ -244,8 +244,8 @@ COLUMNS = (
 )
 
 
-def judge(docs: DataFrame, refs: References | None = None) -> DataFrame:
-    """``doc_id``, the base figures, ``base_failed``, ``kept``, the two distances and the reference used.
+def judge(docs: DataFrame, refs: References | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, the base figures, ``base_failed``, ``kept``, the two distances and the reference used.
 
     A text is compared with its language's reference or, if its language is null
     or has none, with the nearest one; without any reference the distances are
@@ -253,10 +253,8 @@ def judge(docs: DataFrame, refs: References | None = None) -> DataFrame:
     empty one.  Repeated rows and null ids give a row each; an empty table none;
     other columns are ignored.
     """
-    rows = own(docs, "doc_id", "text", "lang").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")
-    )
-    refs = refs or references(rows)
+    rows = docs.select(*(docs[c] for c in keep), docs["text"].alias("_text"), docs["lang"].cast("string").alias("_lang"))
+    refs = refs or references(rows.select(F.col("_text").alias("text"), F.col("_lang").alias("lang")))
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +262,15 @@ def judge(docs: DataFrame, refs: References | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                got = scorer.score([t or "" for t in part.column(1).to_pylist()], part.column(2).to_pylist())
+                got = scorer.score([t or "" for t in part.column(part.num_columns - 2).to_pylist()], part.column(part.num_columns - 1).to_pylist())
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(v, k) for v, k in zip(got.values(), kinds, strict=True))], names=["doc_id", *got]
+                    [*part.columns[:-2], *(pa.array(v, k) for v, k in zip(got.values(), kinds, strict=True))],
+                    names=[*part.schema.names[:-2], *got],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, " + COLUMNS)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-2])
+    return rows.mapInArrow(run, kinds + COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
