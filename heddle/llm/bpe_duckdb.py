@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chunk_pattern, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces a worker remembers; letters of pre-tokens that one recursive query gets.
-REMEMBERED, QUERY_BYTES = 400_000, 250_000
+#: Pieces, and as many pre-tokens, that a worker remembers; letters of pre-tokens that one recursive query gets.
+REMEMBERED, QUERY_BYTES = 500_000, 500_000
 LONGEST_KEY = 64
 #: Words of more bytes are contracted by the query for long words.
 LONG = 100
@@ -108,7 +108,8 @@ class Codec:
         self.ranks = read_ranks(path)
         self.one = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.words = regex.compile(public_tokenizers.PATTERN)
-        self.seen: dict[str, tuple[str, int, bytes]] = {}
+        self.seen: dict[str, tuple[str, int, bytes]] = {}  # by piece
+        self.known: dict[str, tuple[str, int, bytes]] = {}  # by pre-token
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = [
             (self.ranks[t[:k]], self.ranks[t[k:]], r)
@@ -177,14 +178,23 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> dict[str, tuple[str, int, bytes]]:
         """Ids (as text), their number and their decoded bytes, for each piece."""
-        split = [[w.encode("utf-8", "surrogatepass") for w in self.words.findall(p)] for p in pieces]
-        distinct = list({w for own in split for w in own})
-        ids = self.encode_words(distinct)
-        known = {w: (" ".join(map(str, x)), len(x), d) for w, x, d in zip(distinct, ids, self.decode(ids), strict=True)}
+        split = list(map(self.words.findall, pieces))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = list(set().union(*split) - known.keys())
+        ids = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
+        known.update(zip(new, ((" ".join(map(str, x)), len(x), d) for x, d in zip(ids, self.decode(ids), strict=True)), strict=True))
         out = {}
         for p, own in zip(pieces, split, strict=True):
-            parts = [known[w] for w in own]
-            out[p] = parts[0] if len(parts) == 1 else (" ".join([x[0] for x in parts]), sum(x[1] for x in parts), b"".join([x[2] for x in parts]))
+            if len(own) == 1:
+                out[p] = known[own[0]]
+            else:
+                text, n, data = zip(*map(known.__getitem__, own), strict=True)
+                out[p] = (" ".join(text), sum(n), b"".join(data))
+        for w in new:
+            if len(w) > LONGEST_KEY:
+                del known[w]
         return out
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
@@ -194,7 +204,7 @@ class Codec:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = set().union(*pieces) - self.seen.keys()
-        self.seen |= self.learn(list(new))
+        self.seen.update(self.learn(list(new)))
         out = [list(map(self.seen.__getitem__, own)) for own in pieces]
         for k in new:
             if len(k) > LONGEST_KEY:
