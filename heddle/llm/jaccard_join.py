@@ -29,7 +29,7 @@ WORDS, PERCENT = 5, 75
 #: Token orders beyond the first one.
 MORE_ORDERS = 2
 #: Bytes of text and rows shingled at once; shingles and classes packed at once; shingles a bucket should have.
-SLICE_BYTES, SLICE_ROWS, PACK, PACK_CLASSES, BUCKET = 2_000_000, 512, 3_000_000, 60_000, 4_000_000
+SLICE_BYTES, SLICE_ROWS, PACK, PACK_CLASSES, BUCKET = 1_000_000, 256, 1_500_000, 60_000, 2_000_000
 #: Bits of a shingle's hash that travel.
 HASH_BITS = 56
 
@@ -106,15 +106,17 @@ class Shingler:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Ids and texts of a batch, in slices of bounded text."""
-    at = 0
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and to - at < SLICE_ROWS and (to == at or size + len(texts[to]) <= SLICE_BYTES):
-            size += len(texts[to])
-            to += 1
-        yield batch.column(0).slice(at, to - at), texts[at:to]
-        at = to
+    for begin in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(begin, SLICE_ROWS)
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE_BYTES):
+                size += len(texts[to])
+                to += 1
+            yield part.column(0).slice(at, to - at), texts[at:to]
+            at = to
 
 
 def _classes_of(hashes: np.ndarray, ends: np.ndarray) -> list[int | None]:
@@ -220,11 +222,21 @@ def _shared(buckets: int):
         parts = [_unpack(x) for x in group["packed"]]
         hashes, classes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
+        order = np.argsort(hashes, kind="stable")
+        hashes, classes = hashes[order], classes[order]
+        del order
+        # what occurs once can't be shared; most shingles do, so the rest takes little memory
+        same = hashes[1:] == hashes[:-1]
+        several = np.r_[False, same] | np.r_[same, False]
+        hashes, classes = hashes[several], classes[several]
+        del same, several
         # several tasks may have met one class
         order = np.lexsort((classes, hashes))
         hashes, classes = hashes[order], classes[order]
-        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (classes[1:] != classes[:-1])]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (classes[1:] != classes[:-1])][: len(hashes)]
         hashes, classes = hashes[new], classes[new]
+        if not len(hashes):
+            return pd.DataFrame({"class": classes, "k": classes, "data": [b""] * 0})
         starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
         df = np.diff(np.r_[starts, len(hashes)])
         ids = np.cumsum(df > 1) - 1
