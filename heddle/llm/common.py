@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.operators.components import connected
+from heddle.session import materialize
+
 #: Code points with the Unicode property White_Space, as a regex class body.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -22,37 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only in plain local mode, where driver and executor are one process, an
-    unset value falls back to a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="heddle-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the tasks it ran, not the stages
-    before this table.  The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/heddle/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; others of the input can't clash with ours."""
     return df.select(*(df[n] for n in names))
@@ -70,47 +40,7 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected ``edges`` by star contraction.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014), each a
-    ``groupBy`` with map-side combining over narrow rows; the number of rounds
-    grows with the logarithm of the size.  Returns ``(node, component)``, the
-    component being its smallest node; nodes without edges don't appear.
-    No list of neighbours is ever built, so a hub doesn't hurt.
-    """
-    cur = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
-    while True:
-        # large star: strictly larger neighbours are linked to the least of the closed neighbourhood
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        # small star: smaller neighbours, and the node itself, are linked to the least
-        least2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least2, "u")
-            .select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = materialize(small, "edges")
-        changed = (
-            nxt.join(cur, ["u", "v"], "left_anti").limit(1).count()
-            + cur.join(nxt, ["u", "v"], "left_anti").limit(1).count()
-        )
-        cur = nxt
-        if not changed:
-            break
-    nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return nodes.union(roots).distinct()
-
-
-def bucket_components(members: DataFrame, near, verify, hub_rounds: int = 2) -> DataFrame:
+def bucket_components(members: DataFrame, near, verify, hub_rounds: int = 2, links: DataFrame | None = None) -> DataFrame:
     """Components of the nodes that share a bucket, are ``near`` and pass ``verify``.
 
     ``members`` is a written table of ``key``, ``node`` and what ``near`` needs.
@@ -120,9 +50,10 @@ def bucket_components(members: DataFrame, near, verify, hub_rounds: int = 2) ->
     Buckets aren't expanded into all their pairs.  In each hub round, a bucket's
     members are compared with one of them; then only members that are still in
     different components are compared with each other, so no link is lost.
-    Returns ``(node, component)`` for nodes with a link.
+    ``links`` are known already.  Returns ``(node, component)`` for nodes with a
+    link.
     """
-    links = labels = None
+    labels = None if links is None else materialize(connected(links), "labels")
     for k in range(hub_rounds + 1):
         if labels is None:
             now = members.withColumn("label", F.col("node"))
@@ -132,18 +63,17 @@ def bucket_components(members: DataFrame, near, verify, hub_rounds: int = 2) ->
         rest = [c for c in now.columns if c != "key"]
         hubs = now.groupBy("key").agg(pick(F.struct("node", *[c for c in rest if c != "node"])).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         hubs = hubs.where("lo <> hi").select("key", "hub.*")
+        if labels is not None and hubs.isEmpty():
+            break
         if k < hub_rounds:
             pairs = now.alias("x").join(hubs.alias("y"), "key").where("x.label <> y.label")
         else:
             mixed = materialize(now.join(hubs.select("key"), "key", "left_semi"), "mixed")
-            if mixed.isEmpty():
-                break
             pairs = mixed.alias("x").join(mixed.alias("y"), "key").where("x.label < y.label")
         pairs = pairs.where(near("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            if k < hub_rounds and labels is not None:
-                continue
+        if labels is not None and pairs.isEmpty():
+            continue
         new = verify(pairs)
         links = new if links is None else links.union(new)
         labels = materialize(connected(links), "labels")
