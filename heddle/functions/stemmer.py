@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOWELS = "aeiou"
 
@@ -85,6 +86,6 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")

@@ -47,12 +47,12 @@ def build_chunks(tree: DataFrame, depth: int = 6) -> DataFrame:
     """
     label = X.path_label(X.first_filled(X.clause_number(F.col("title")), F.col("title")))
     node = sibling_ordinals(tree).withColumn("label", label)
-    up = node.select("doc_id", F.col("pos").alias("a_pos"), F.col("label").alias("a_label"), F.col("parent_pos").alias("a_parent"), (F.length("text") > 0).alias("a_text"))
+    up = node.select(F.col("doc_id").alias("a_doc"), F.col("pos").alias("a_pos"), F.col("label").alias("a_label"), F.col("parent_pos").alias("a_parent"), (F.length("text") > 0).alias("a_text"))
     walk = node.withColumns(
         {"path": F.col("label"), "above": F.col("parent_pos"), "chunk_parent_pos": F.lit(None).cast("int"), "parent_path": F.lit(None).cast("string")}
     )
     for _ in range(depth):
-        step = walk.join(up, (walk["doc_id"] == up["doc_id"]) & (F.col("above") == F.col("a_pos")), "left").drop(up["doc_id"])
+        step = walk.join(up, (F.col("doc_id") == F.col("a_doc")) & (F.col("above") == F.col("a_pos")), "left")
         found = F.col("chunk_parent_pos").isNull() & F.coalesce("a_text", F.lit(False))
         walk = step.withColumns(
             {
@@ -60,7 +60,7 @@ def build_chunks(tree: DataFrame, depth: int = 6) -> DataFrame:
                 "path": F.when(F.col("a_pos").isNull(), F.col("path")).otherwise(X.path_join(F.col("a_label"), F.col("path"))),
                 "above": F.col("a_parent"),
             }
-        ).drop("a_pos", "a_label", "a_parent", "a_text")
+        ).drop("a_doc", "a_pos", "a_label", "a_parent", "a_text")
     slug = X.path_label(F.col("slug"))
     return walk.where(F.length("text") > 0).select(
         "doc_id", "pos", "level", X.clause_number(F.col("title")).alias("clause_number"), "title", X.path_join(slug, F.col("path")).alias("path"),

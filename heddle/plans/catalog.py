@@ -73,7 +73,7 @@ def duplicate_groups(spark, d):
     return ingest.duplicate_groups(table(spark, d, "documents"))
 
 
-LOG_SQL = "log AS (SELECT event_id AS job_id, user_id AS document_id, event_type AS status, ts AS at FROM events)"
+LOG_SQL = "log AS (SELECT event_id AS job_id, user_id AS document_id, event_type AS status, ts AS moment FROM events)"
 
 
 def job_log(spark: SparkSession, d: str) -> DataFrame:
@@ -81,16 +81,16 @@ def job_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("job_latest_status", f"""
-WITH {LOG_SQL} SELECT document_id, status, epoch(at)::BIGINT AS at_seconds, n_jobs FROM (
-SELECT *, count(*) OVER (PARTITION BY document_id) AS n_jobs, row_number() OVER (PARTITION BY document_id ORDER BY at DESC, job_id DESC) AS n FROM log) WHERE n = 1
+WITH {LOG_SQL} SELECT document_id, status, CAST(floor(epoch(moment)) AS BIGINT) AS at_seconds, n_jobs FROM (
+SELECT *, count(*) OVER (PARTITION BY document_id) AS n_jobs, row_number() OVER (PARTITION BY document_id ORDER BY moment DESC, job_id DESC) AS n FROM log) WHERE n = 1
 """)
 def job_latest_status(spark, d):
     return ingest.latest_status(job_log(spark, d)).select("document_id", "status", F.unix_seconds("at").alias("at_seconds"), "n_jobs")
 
 
 @query("job_durations", f"""
-WITH {LOG_SQL} SELECT job_id, document_id, status, CAST(floor(epoch(lead(at) OVER w)) AS BIGINT) - CAST(floor(epoch(at)) AS BIGINT) AS seconds
-FROM log WINDOW w AS (PARTITION BY document_id ORDER BY at, job_id)
+WITH {LOG_SQL} SELECT job_id, document_id, status, CAST(floor(epoch(lead(moment) OVER w)) AS BIGINT) - CAST(floor(epoch(moment)) AS BIGINT) AS seconds
+FROM log WINDOW w AS (PARTITION BY document_id ORDER BY moment, job_id)
 """)
 def job_durations(spark, d):
     return ingest.durations(job_log(spark, d))
@@ -326,7 +326,7 @@ def hybrid_search(spark, d):
 RERANK_SQL = f"""{RANKS_SQL},
 cand AS (SELECT rank AS input_pos, id, text, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM fused JOIN documents ON doc_id = id),
 best AS (SELECT input_pos, id, text, relevance, CAST(row_number() OVER (ORDER BY relevance DESC, input_pos) - 1 AS INT) AS rank FROM (
-SELECT *, round(len(list_filter(ws, w -> w IN ('{TERMS[0]}', '{TERMS[1]}')))::DOUBLE / greatest(len(ws), 1), 6) AS relevance FROM cand) QUALIFY rank < {TOP_K})
+SELECT *, round(len(list_filter(ws, lambda w: w IN ('{TERMS[0]}', '{TERMS[1]}')))::DOUBLE / greatest(len(ws), 1), 6) AS relevance FROM cand) QUALIFY rank < {TOP_K})
 """
 
 
@@ -562,7 +562,7 @@ def community_text(spark, d):
 
 @query("global_search", """
 WITH c AS (SELECT label, list(embedding::DOUBLE[] ORDER BY vec_id) AS es, count(*) AS n FROM embeddings GROUP BY label),
-m AS (SELECT label, n, [list_sum(list_transform(es, e -> e[i])) / n for i in range(1, len(es[1]) + 1)] AS centre FROM c)
+m AS (SELECT label, n, [list_sum(list_transform(es, lambda e: e[i])) / n for i in range(1, len(es[1]) + 1)] AS centre FROM c)
 SELECT label AS id, n AS entity_count, round(list_cosine_similarity(centre, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM m
 """)
 def global_search(spark, d):
