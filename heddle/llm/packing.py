@@ -57,8 +57,12 @@ class Encoder:
 
         self.tokenizer, self.seen = Tokenizer.from_file(path), {}
         self.words = re.compile(f"[^{WHITE}]+").findall
-        # letters that stay letters in lower case, and perhaps one mark: one or two pre-tokens
-        self.plain = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,])?").fullmatch
+        # texts whose lower case can't interact with normalisation or make a special string
+        self.odd = re.compile("[^\x00-\u02ff]|<\\|").search
+        # letters that stay letters in lower case, digits, and marks without the apostrophe of contractions
+        letters, marks = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+        self.plain = re.compile(f"[{letters}0-9{marks}]+").fullmatch
+        self.parts = re.compile(f"[{letters}]+|[0-9]|[{marks}]+").findall
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
@@ -67,20 +71,21 @@ class Encoder:
         # str.split() also splits at these four, which aren't white space for the tokenizer
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self.words(text)
-        return text.split()
+        # the tokenizer's own lower case, but once for all; words then repeat more often
+        return text.split() if self.odd(text) else text.lower().split()
 
     def learn(self, new: list[str]) -> None:
-        plain, marks, odd = [], [], []
+        plain, sizes, odd = [], [], []
         for w in new:
-            if m := self.plain(w):
+            if self.plain(w) and "<|" not in w:
                 plain.append(w)
-                marks.append(1 if m[1] is None else 2)
+                sizes.append(len(self.parts(w)))
             else:
                 odd.append(w)
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            bounds = np.flatnonzero(self.ends[ids])[np.cumsum(marks[at : at + 4096]) - 1] + 1
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            bounds = np.flatnonzero(self.ends[ids])[np.cumsum(sizes[at : at + 4096]) - 1] + 1
             if bounds[-1] != len(ids):
                 raise AssertionError("a plain word has other pre-tokens than expected")
             data, bounds = ids.tobytes(), [0, *(4 * bounds).tolist()]
