@@ -36,7 +36,7 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
-    r"|</?[a-z][^>]*>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    r"|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*>|(?P<text>[^<]+|<)",  # a tag that the page's end cuts is no text
     re.S | re.I,
 )
 ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
