@@ -31,7 +31,7 @@ HOST_BINS = 1 << 16
 #: Longest group whose repetition is looked for; share of the varying text that the main container holds.
 LONGEST_GROUP, MAIN_SHARE = 12, 0.6
 
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|title|select"
+RAW = "script|style|noscript|template|textarea|iframe|svg|title|select"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -42,7 +42,9 @@ TOKEN = re.compile(
 ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object
+    math semantics annotation annotation-xml merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup
+    mtable mtd mtext mtr munder munderover""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag of the same kind ends.
@@ -51,46 +53,67 @@ SIBLINGS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt",
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Elements whose end tag may be left out; it is no token, then.
 LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot body html head".split())
-APART_TAGS = frozenset("nav footer aside form button dialog menu head fieldset input".split())
+APART_TAGS = frozenset("nav footer aside button dialog menu head fieldset input".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 APART_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts
     popup modal overlay newsletter subscribe subscription signup sidebar related recommended recommendations trending share sharing social comment comments
     disqus respond reply replies nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead topbar pagination pager paging widget widgets login search""".split()
 )
+#: Words that say nothing beside those of APART_WORDS; with any other word ("related-work", "has-sidebar") a class is no evidence.
+NEUTRAL_WORDS = frozenset(
+    """area bar block bottom box btn button buttons container count desktop div entry feed form global group header icon icons id inner item items js left link links list
+    local mobile module outer page panel post posts primary right s secondary section site slot story stories tag tags text title top unit wrap wrapper""".split()
+)
+#: Pages of a group on which such an element must stand, or half of them, to be part of the template.
+CONFIRMING_PAGES = 2
 #: Parts that an article's start tag is taken to end where their own end tag is missing.
 UNCLOSED = frozenset("nav header ad ads advert advertisement menu banner".split())
 
 
-def words_of(attrs: str) -> tuple[set[str], str, bool]:
-    """Words of class, id and role; the class as written; whether the element is hidden."""
-    words, label, hidden = set(), "", False
+def words_of(attrs: str) -> tuple[frozenset[str], str, bool, bool]:
+    """Telltale words of class and id; the class as written; whether the role is apart; whether the element is hidden."""
+    words, label, role, hidden = set(), "", False, False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words.update(re.findall(r"[a-z]+", value))
+            for token in value.split():
+                runs = set(re.findall(r"[a-z]+", token))
+                if runs and runs <= APART_WORDS | NEUTRAL_WORDS:
+                    words |= runs & APART_WORDS
             label = label or value.strip()
         elif name == "role":
-            words.update(f"role:{r}" for r in value.split() if r in APART_ROLES)
+            role |= not APART_ROLES.isdisjoint(value.split())
         elif name == "hidden":
             hidden = True
         elif name == "aria-hidden":
             hidden |= value == "true"
         elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    return words, label, hidden
+    return frozenset(words), label, role, hidden
+
+
+class Element:
+    """An open element: ``apart`` for certain, or by ``evidence`` that other pages must confirm."""
+
+    __slots__ = ("name", "label", "apart", "evidence", "within")
+
+    def __init__(self, name: str, label: str, apart: bool, evidence: tuple[str, frozenset[str]] | None):
+        self.name, self.label, self.apart, self.evidence = name, label, apart, evidence
+        self.within = 0  # letters of text that isn't apart for certain
 
 
 class Page:
     """A page as a stream of block tags and ``#`` for text, with the texts and where they stand."""
 
-    __slots__ = ("stream", "texts", "regions")
+    __slots__ = ("stream", "texts", "regions", "paths")
 
     def __init__(self, source: str):
         self.stream: list = []
         self.texts: list[str] = []  # one for each "#"
         self.regions: list[tuple[str, ...] | None] = []  # containers of each text; None: apart from the main text
-        stack: list[tuple[str, str, bool]] = []  # (name, label, apart)
+        self.paths: list[list[Element]] = []  # open elements of each text
+        stack: list[Element] = []
         parts: list[str] = []
 
         def flush() -> None:
@@ -98,8 +121,7 @@ class Page:
                 if text := " ".join("".join(parts).split()):
                     self.stream.append("#")
                     self.texts.append(text)
-                    apart = any(x[2] for x in stack)
-                    self.regions.append(None if apart else tuple(x[1] for x in stack))
+                    self.paths.append(stack.copy())
                 parts.clear()
 
         for m in TOKEN.finditer(source):
@@ -120,35 +142,76 @@ class Page:
                 if name not in LOOSE:
                     self.stream.append(f"</{name}>")
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
+                    if stack[i].name == name:
                         del stack[i:]
                         break
                 continue
             attrs = m["attrs"]
-            words, label, hidden = words_of(attrs) if attrs.strip(" /\n\t") else (set(), "", False)
+            words, label, role, hidden = words_of(attrs) if attrs.strip(" /\n\t") else (frozenset(), "", False, False)
             self.stream.append(f"<{name} {label}>" if label else f"<{name}>")
             if name in VOID:
                 continue
-            if name in ENDS_P and stack and stack[-1][0] == "p":
+            if name in ENDS_P and stack and stack[-1].name == "p":
                 stack.pop()
             if ends := SIBLINGS.get(name):
-                while stack and stack[-1][0] in ends:
+                while stack and stack[-1].name in ends:
                     stack.pop()
             if name in ("body", "html"):
                 continue
             if name in ("article", "main"):
-                while stack and stack[-1][2] and not {stack[-1][0], *re.findall(r"[a-z]+", stack[-1][1])}.isdisjoint(UNCLOSED):
+                while stack and (stack[-1].apart or stack[-1].evidence) and not UNCLOSED.isdisjoint(re.findall(r"[a-z]+", stack[-1].label)):
                     stack.pop()
-            in_article = any(x[0] == "article" for x in stack)
-            apart = hidden or name in APART_TAGS or name == "header" and not in_article
-            apart = apart or any(w.startswith("role:") for w in words)
-            if not apart and name not in ("article", "main", "p", "h1", "h2", "h3"):
-                apart = not words.isdisjoint(APART_WORDS)
+            in_article = any(x.name == "article" for x in stack)
+            apart = hidden or role or name in APART_TAGS or name == "header" and not in_article
+            evidence = None
+            if name == "form":
+                evidence = (name, frozenset())
             elif name == "article":
-                apart = not words.isdisjoint({"comment", "comments", "reply", "related", "ad", "advert", "sponsored", "promo"})
-            stack.append((name, f"{name} {label}".strip(), apart))
+                words &= {"comment", "comments", "reply", "related", "ad", "advert", "sponsored", "promo"}
+            if words and name not in ("main", "p", "h1", "h2", "h3"):
+                evidence = (name, words)
+            stack.append(Element(name, f"{name} {label}".strip(), apart, evidence))
         flush()
 
+    def evidence(self) -> set:
+        """What says of elements with text that they are apart."""
+        return {x.evidence for path in self.paths for x in path if x.evidence}
+
+    def settle(self, confirmed: set) -> None:
+        """Containers of each text, once it is known which evidence the other pages confirm.
+
+        Evidence never counts against an element that contains the main article
+        (the one of the most text) or else the main element; on pages without
+        both, against one that contains most of the text.
+        """
+        total = 0
+        for text, path in zip(self.texts, self.paths, strict=True):
+            if not any(x.apart for x in path):
+                total += len(text)
+                for x in path:
+                    x.within += len(text)
+        best: tuple = (0, 0, 0)
+        safe: set[int] = set()
+        for path in self.paths:
+            for i, x in enumerate(path):
+                if x.name in ("article", "main") and (rank := (x.evidence is None, x.name == "article", x.within)) > best and x.within:
+                    best, safe = rank, set(map(id, path[: i + 1]))
+        if not safe:
+            safe = {id(x) for path in self.paths for x in path if 2 * x.within > total}
+        for path in self.paths:
+            apart = any(x.apart or x.evidence in confirmed and id(x) not in safe for x in path)
+            self.regions.append(None if apart else tuple(x.label for x in path))
+        self.paths = []
+
+
+def confirm(pages: list[Page]) -> set:
+    """Evidence found on several pages of the group, or on half of them: then it marks a part of their template."""
+    seen: dict[tuple, int] = defaultdict(int)
+    for page in pages:
+        for x in page.evidence():
+            seen[x] += 1
+    return {x for x, n in seen.items() if x[0] in ("form", "article") or n >= CONFIRMING_PAGES or 2 * n >= len(pages)}
+
 
 def fold(stream: list, slots: list[int]) -> tuple[list, list[int]]:
     """Adjacent equal groups of tokens become one repeated group, a tuple; innermost groups first.
@@ -294,6 +357,9 @@ def extract(sources: list[str]) -> tuple[list[str], Wrapper]:
     over all pages of the group.
     """
     pages = [Page(s) for s in sources]
+    confirmed = confirm(pages)
+    for page in pages:
+        page.settle(confirmed)
     wrapper, folded = Wrapper(), [fold(p.stream, [x == "#" for x in p.stream]) for p in pages]
     for stream, _ in folded:
         wrapper.learn(stream)

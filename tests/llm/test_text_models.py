@@ -178,3 +178,25 @@ def test_pipeline_runs(spark, small):
     for r in rows:
         filled[r["sequence_id"]] += r["length"]
     assert rows and max(filled.values()) <= 4096
+
+
+def one(*sources):
+    return wrappers.extract(list(sources))[0]
+
+
+def test_class_words_need_confirmation():
+    article = "<article><h1>T</h1><section id='related-work'><p>earlier work</section><div id='search-methods'><p>we search</div></article>"
+    assert one(f"<body><div class='layout has-sidebar'>{article}</div>") == ["T\nearlier work\nwe search"]
+    # even a plain class word doesn't exclude what contains the article, or most of a page without one
+    assert one(f"<body><div class='sidebar'><p>x</div><div class='widget'>{article}</div>") == ["T\nearlier work\nwe search"]
+    assert one("<body><div class='search'><p>all that this page has to say</div><div class='ad'>buy</div>") == ["all that this page has to say"]
+    assert one(f"<body><form id='aspnetForm'>{article}</form>") == ["T\nearlier work\nwe search"]
+    # a part that one page of many has is no part of their template; one that several have is
+    plain = [f"<article><p>page {i} has this</p></article>" for i in range(5)]
+    noted = "<article><p>own</p><section class='notice'><p>kept</p></section></article>"
+    assert one(*plain, noted)[-1] == "own\nkept"
+    assert one(*plain, noted, noted.replace("own", "other"))[-2:] == ["own", "other"]
+
+
+def test_math_and_object_text_stays():
+    assert one("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <object data='a.png'>as shown</object>.</article>") == ["so x=2 holds as shown."]
