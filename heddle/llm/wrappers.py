@@ -67,6 +67,8 @@ NEUTRAL_WORDS = frozenset(
 )
 #: Pages of a group on which such an element must stand, or half of them, to be part of the template.
 CONFIRMING_PAGES = 2
+#: Elements that can stand in a head; any other one, or text, ends it.
+HEAD_TAGS = frozenset("html head title base basefont bgsound link meta script style noscript template".split())
 #: Parts that an article's start tag is taken to end where their own end tag is missing.
 UNCLOSED = frozenset("nav header ad ads advert advertisement menu banner".split())
 
@@ -126,12 +128,16 @@ class Page:
 
         for m in TOKEN.finditer(source):
             if (text := m["text"]) is not None:
+                if stack and stack[-1].name == "head" and not text.isspace():
+                    stack.pop()
                 parts.append(html.unescape(text))
                 continue
             name = m["name"]
             if name is None:
                 continue
             name = name.lower()
+            if stack and stack[-1].name == "head" and name not in HEAD_TAGS and not m["close"]:
+                stack.pop()
             if name == "br":
                 parts.append(" ")
                 continue

@@ -200,3 +200,10 @@ def test_class_words_need_confirmation():
 
 def test_math_and_object_text_stays():
     assert one("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <object data='a.png'>as shown</object>.</article>") == ["so x=2 holds as shown."]
+
+
+def test_head_without_end_tag():
+    for start in ("<body>", "", "<body class='x'><div>", "<b></b>"):
+        assert one(f"<html><head><meta charset=u><title>t</title><style>p{{}}</style>{start}<article><p>all of this</article>") == ["all of this"]
+    assert one("<head><title>t</title>\nloose text<p>and more") == ["loose text\nand more"]
+    assert one("<head><meta charset=u><article><p>a</article><head><p>b") == ["a"]
