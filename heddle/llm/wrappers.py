@@ -4,10 +4,11 @@ Pages of a host come from a few templates.  Each page becomes a stream of block
 tags and text slots; repetitions in it are folded into repeated groups.  A
 wrapper starts as one page's stream and is aligned with the next ones: what
 only one side has becomes optional, a group that either side repeats becomes
-repeated, texts become slots (Crescenzi, Mecca and Merialdo, 2001).  There are
-no disjunctions.  The slots' places and how their texts vary then tell the main
-region: the article if there is one, else the smallest container that holds
-most of the varying text outside menus, adverts and the like.
+repeated (Crescenzi, Mecca and Merialdo, 2001).  There are no disjunctions.
+Texts that the alignment puts in one place are compared over the pages: equal
+ones are template, differing ones make a slot.  The main text is that of the
+slots in the main region: the article if there is one, else the smallest
+container that holds most of the varying text outside menus, adverts and the like.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ NEUTRAL_WORDS = frozenset(
 )
 #: Pages of a group on which such an element must stand, or half of them, to be part of the template.
 CONFIRMING_PAGES = 2
+#: Different pages that must have a slot before its equal texts count as template; share of a page's main text that may go as template.
+TEMPLATE_PAGES, MOST_TEMPLATE = 4, 0.5
 #: Elements that can stand in a head; any other one, or text, ends it.
 HEAD_TAGS = frozenset("html head title base basefont bgsound link meta script style noscript template".split())
 #: Parts that an article's start tag is taken to end where their own end tag is missing.
@@ -356,6 +359,35 @@ def kind_of(region: tuple[str, ...] | None) -> str:
     return "article" if "article" in names else "main" if "main" in names else "rest"
 
 
+def template_texts(pages: list[Page], items: list[list[int | None]]) -> dict[int, set[str]]:
+    """Texts that are equal wherever pages fit a slot: they belong to the template, the differing ones are data.
+
+    Pages of the same texts count once, or copies of a page would make all of it template.
+    """
+    seen: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    having: dict[int, int] = defaultdict(int)
+    known: set[tuple] = set()
+    for page, at in zip(pages, items, strict=True):
+        if (key := tuple(page.texts)) in known:
+            continue
+        known.add(key)
+        slots: dict[int, set[str]] = defaultdict(set)
+        for text, i in zip(page.texts, at, strict=True):
+            if i is not None:
+                slots[i].add(text)
+        for i, texts in slots.items():
+            having[i] += 1
+            for text in texts:
+                seen[i][text] += 1
+    return {i: same for i, n in having.items() if n >= TEMPLATE_PAGES and (same := {t for t, k in seen[i].items() if k == n})}
+
+
+def without_template(texts: list[str], slots: list[int | None], template: dict[int, set[str]]) -> list[str]:
+    """``texts`` without those of the template, unless that would take most of them."""
+    left = [t for t, i in zip(texts, slots, strict=True) if t not in template.get(i, ())]
+    return left if sum(map(len, left)) >= (1 - MOST_TEMPLATE) * sum(map(len, texts)) else texts
+
+
 def extract(sources: list[str]) -> tuple[list[str], Wrapper]:
     """Main text of each page of one template group, and the wrapper that they fit.
 
@@ -382,6 +414,7 @@ def extract(sources: list[str]) -> tuple[list[str], Wrapper]:
             if i is not None:
                 mass[i][kind_of(region)] += len(text)
     slot_kind = {i: max(sorted(n), key=n.get) for i, n in mass.items()}
+    template = template_texts(pages, items)
     rest = None
     out = []
     for page, at in zip(pages, items, strict=True):
@@ -392,13 +425,13 @@ def extract(sources: list[str]) -> tuple[list[str], Wrapper]:
         kinds = [k if k != "apart" or r is None else kind_of(r) for k, r in zip(kinds, page.regions, strict=True)]
         if "article" in kinds or "main" in kinds:
             want = "article" if "article" in kinds else "main"
-            chosen = [t for t, k in zip(page.texts, kinds, strict=True) if k == want]
+            chosen = [j for j, k in enumerate(kinds) if k == want]
         else:
             if rest is None:
                 rest = main_region([p for p in pages if all(kind_of(r) in ("rest", "apart") for r in p.regions)])
-            chosen = [t for t, r in zip(page.texts, page.regions, strict=True) if r is not None and r[: len(rest)] == rest]
-            chosen = chosen or [t for t, r in zip(page.texts, page.regions, strict=True) if r is not None]
-        out.append("\n".join(chosen))
+            chosen = [j for j, r in enumerate(page.regions) if r is not None and r[: len(rest)] == rest]
+            chosen = chosen or [j for j, r in enumerate(page.regions) if r is not None]
+        out.append("\n".join(without_template([page.texts[j] for j in chosen], [at[j] for j in chosen], template)))
     return out, wrapper
 
 

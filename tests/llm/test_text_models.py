@@ -207,3 +207,14 @@ def test_head_without_end_tag():
         assert one(f"<html><head><meta charset=u><title>t</title><style>p{{}}</style>{start}<article><p>all of this</article>") == ["all of this"]
     assert one("<head><title>t</title>\nloose text<p>and more") == ["loose text\nand more"]
     assert one("<head><meta charset=u><article><p>a</article><head><p>b") == ["a"]
+
+
+def test_equal_texts_of_a_slot_are_template():
+    page = "<article><h1>Title {0}</h1><p>Posted by our staff</p><p>the words of page number {0}</p><p>more of it {0}</p><p>Call us now</p></article>"
+    want = [f"Title {i}\nthe words of page number {i}\nmore of it {i}" for i in range(6)]
+    assert one(*(page.format(i) for i in range(6))) == want
+    # copies of one page are no evidence, and neither are few pages
+    assert all("Call us now" in t for t in one(*([page.format(0)] * 9 + [page.format(1)])))
+    # a text that another page changes is data
+    got = one(*(page.format(i) for i in range(5)), page.format(5).replace("now", "later"))
+    assert all("Call us" in t and "Posted" not in t for t in got)
