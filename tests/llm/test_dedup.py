@@ -205,3 +205,40 @@ def test_simhash_of_long_and_short_lines(spark):
         hashes = Counter(xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w)
         want = sum(1 << b for b in range(64) if 2 * sum(n for h, n in hashes.items() if h >> b & 1) > len(w))
         assert got[i] & (2**64 - 1) == want
+
+
+def similar_groups(lines):
+    """Lines that stay of different normalised ones, by edit similarity alone."""
+    parent, find = union_find(len(lines))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            b = lines[j]
+            most = int(0.1 * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) == i for i in range(len(lines))}
+
+
+def test_lines_equal_edit_similarity_alone(spark):
+    """Few and many edits, at the limit and just beyond it, in short and long lines."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    lines = ["abcdefghij", "abcdefghix", "abcdefghi", "abcdefghx", "one two three", "one two threes", "a b c d e f g", "a b c d e f h"]
+    for size in (*range(10, 44, 4), 60, 89, 90, 120, 270):
+        for spread in (False, True):
+            base = [letters[k] for k in rng.integers(0, 26, size)]
+            for i in range(4, size - 1, 6):
+                base[i] = " "
+            for edits in (1, size // 10, size // 10 + 1):
+                own = list(base)
+                at = np.arange(edits) * size // max(edits, 1) if spread else rng.choice(size, edits, replace=False)
+                for p in sorted(at.tolist(), reverse=True):
+                    kind = rng.integers(0, 3)
+                    own[p : p + (kind != 0)] = [letters[rng.integers(0, 27)]] if kind < 2 else []
+                lines.append(normal("".join(own)))
+            lines.append(normal("".join(base)))
+    lines = list(dict.fromkeys(x for x in lines if x))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] == 0 for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == similar_groups(lines)
+    assert sum(got.values()) < 0.7 * len(got)
