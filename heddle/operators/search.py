@@ -73,6 +73,37 @@ def dense_scores(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     return vectors.select("id", F.round(X.cosine(F.col("embedding"), literal), 6).alias("score"))
 
 
+def similar_pairs(vectors: DataFrame, least: float, block: int = 1000) -> DataFrame:
+    """``(a, b, score)`` of all pairs ``a < b`` of ids with the same label and a cosine, rounded to six places, of at least ``least``.
+
+    A label's vectors are dealt into blocks of about ``block`` by a hash of the
+    id; each two blocks meet in one task, so a common label is many small groups.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = vectors.select("id", "embedding", "label").where("id is not null and embedding is not null and label is not null")
+    blocks = rows.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = rows.select("label", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "id", "embedding")
+    # other names, or columns of both sides would be the same to Spark
+    other = rows.select(F.col("label").alias("label2"), "own", F.col("id").alias("id2"), F.col("embedding").alias("embedding2"))
+    right = other.select("label2", F.explode(F.sequence(F.lit(0), "own")).alias("i2"), F.col("own").alias("j2"), "id2", "embedding2")
+
+    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "score": []})
+        m, n = (np.stack([np.asarray(v, dtype=np.float64) for v in side]) for side in (x["embedding"], y["embedding2"]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round(m @ n.T / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(n, axis=1), 6)
+        p, q = x["id"].to_numpy(), y["id2"].to_numpy()
+        # within one block each pair shows up both ways
+        at, to = np.nonzero((score >= least) & ((p[:, None] < q) if key[1] == key[2] else (p[:, None] != q)))
+        return pd.DataFrame({"a": np.minimum(p[at], q[to]), "b": np.maximum(p[at], q[to]), "score": score[at, to]})
+
+    return left.groupBy("label", "i", "j").cogroup(right.groupBy("label2", "i2", "j2")).applyInPandas(run, "a long, b long, score double")
+
+
 def dense_pairs(queries: DataFrame, vectors: DataFrame, block: int = 256) -> DataFrame:
     """``(query_id, id, score)`` of every query with every vector, by matrix products.
 

@@ -303,6 +303,15 @@ def similarity_pairs(spark, d):
     return found.join(label.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id").where("label = ql").select("query_id", "id", "score")
 
 
+@query("similarity_pairs_all", """
+SELECT a, b, score FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS score
+FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE score >= 0.3
+""")
+def similarity_pairs_all(spark, d):
+    """The whole similarity join; ``similarity_pairs`` has only the query set on one side."""
+    return search.similar_pairs(vectors(spark, d), 0.3)
+
+
 RANKS_SQL = f"""{VECTOR_SQL}, {LEXICAL_SQL},
 r AS (SELECT 0 AS src, id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM den QUALIFY rank < {DENSE_CANDIDATES}
 UNION ALL SELECT 1, id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM lex QUALIFY rank < {LEXICAL_CANDIDATES}),

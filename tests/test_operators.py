@@ -252,3 +252,12 @@ def test_incremental_ingest(spark, tmp_path):
         pass
     seen = [(r["status"], r["error_message"]) for r in spark.read.parquet(log).orderBy("at").collect()]
     assert seen == [("running", None), ("failed", "division by zero"), ("running", None), ("success", None)]
+
+
+def test_similar_pairs_need_no_query_set(spark):
+    from heddle.operators import search
+
+    rows = [(i, [1.0, 0.1 * (i % 7)], i % 2) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, label long")
+    got = sorted((r["a"], r["b"]) for r in search.similar_pairs(df, 0.3, block=4).collect())
+    assert got == [(a, b) for a in range(1, 31) for b in range(a + 1, 31) if a % 2 == b % 2]
