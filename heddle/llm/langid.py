@@ -27,8 +27,6 @@ from .common import crc_mod, own, table
 
 #: Buckets of hashed n-grams (of 1 to 3 letters, with marks at word ends), bits of long codes, smoothing.
 BUCKETS, LONGEST_GRAM, CODE_BITS, SMOOTHING = 1 << 14, 3, 31, 0.5
-#: Languages a code may have; a corpus with more labels keeps the most frequent ones.
-MOST_LANGUAGES = 200
 #: Share of the mean loss by which the two best codewords must differ.
 AMBIGUOUS_GAP = 0.05
 #: Distinct words whose n-grams a worker remembers; letters of a word that are looked at in one piece.
@@ -92,9 +90,9 @@ def gram_counts(docs: DataFrame) -> dict[str, np.ndarray]:
     rows = docs.select("text", docs["lang"].cast("string").alias("lang")).where("text is not null and lang is not null")
     partial = rows.mapInArrow(run, "lang string, gram int, n long")
     summed = partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    packed = summed.groupBy("lang").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams"))
-    # bounded: so many languages, each with an array of the buckets
-    found = packed.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).collect()
+    packed = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams"))
+    # an array of the buckets for each language that occurs
+    found = packed.select("lang", "grams").collect()
     out = {}
     for row in sorted(found, key=lambda r: r["lang"]):
         counts = np.zeros(BUCKETS)
@@ -220,7 +218,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     ids give a row each; an empty table none.
     """
     kept = [docs[c] for c in keep]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES codewords over BUCKETS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a codeword for each language, BUCKETS weights for each bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)

@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .common import materialize, table
 
-#: Words of a language's histogram, apart from one place for all others; languages with a reference.
-COMMON, MOST_LANGUAGES = 100, 64
+#: Words of a language's histogram, apart from one place for all others.
+COMMON = 100
 #: Largest distances that pass, and the least numbers of characters and of words with which they count.
 CHAR_LIMIT, CHAR_GUARD = 0.26, 200
 WORD_LIMIT, WORD_GUARD = 0.45, 100
@@ -105,7 +105,7 @@ class References:
 
 
 def references(docs: DataFrame) -> References:
-    """Counted over all rows of ``(text, lang)`` that have both.  What comes to the driver is bounded by the constants above."""
+    """Counted over all rows of ``(text, lang)`` that have both.  What comes to the driver grows with the number of languages only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars: dict[str, np.ndarray] = {}
@@ -137,11 +137,9 @@ def references(docs: DataFrame) -> References:
     # read several times; as many rows as the corpus has different words
     summed = materialize(summed, "reference-counts")
     classes: dict[str, dict[int, int]] = {}
-    order = summed.where("kind = 'class'").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    kept = [r["lang"] for r in order.collect()]
-    for r in summed.where((F.col("kind") == "class") & F.col("lang").isin(kept)).collect():
+    for r in summed.where("kind = 'class'").collect():
         classes.setdefault(r["lang"], {})[int(r["key"])] = r["n"]
-    of_words = summed.where((F.col("kind") == "word") & F.col("lang").isin(kept))
+    of_words = summed.where("kind = 'word'")
     totals = {r["lang"]: r["n"] for r in of_words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     words: dict[str, list[tuple[str, int]]] = {}

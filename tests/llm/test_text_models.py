@@ -218,3 +218,11 @@ def test_equal_texts_of_a_slot_are_template():
     # a text that another page changes is data
     got = one(*(page.format(i) for i in range(5)), page.format(5).replace("now", "later"))
     assert all("Call us" in t and "Posted" not in t for t in got)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i)} {chr(0x5E00 + i)} " * 30, f"l{i:03}") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = [r[2] for r in rows]
+    assert list(langid.gram_counts(docs)) == want
+    assert quality_rules.references(docs).languages == want
