@@ -38,11 +38,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the stages
-    before this table.  The files go when the driver's JVM ends.
+    before this table.  The files go when the driver's JVM ends, or by :func:`free`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heddle/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read any more."""
+    for df in tables:
+        found = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for path in found:
+            if "/heddle/" not in path:
+                raise ValueError(f"not a written intermediate table: {path}")
+            files, place = _files(df.sparkSession, path)
+            files.delete(place, True)
