@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import functools
-import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators.components import connected
-from heddle.session import materialize
+from heddle.operators.components import connected, extended
+from heddle.session import free, materialize
 
 #: Code points with the Unicode property White_Space, as a regex class body.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -40,52 +39,49 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def bucket_components(members: DataFrame, near, verify, hub_rounds: int = 2, links: DataFrame | None = None) -> DataFrame:
+def bucket_components(members: DataFrame, near, verify, hub_rounds: int = 2) -> DataFrame:
     """Components of the nodes that share a bucket, are ``near`` and pass ``verify``.
 
-    ``members`` is a written table of ``key``, ``node`` and what ``near`` needs.
-    ``near(x, y)`` is a Column over two aliases of it; ``verify(pairs)`` returns
-    those of the pairs ``(a, b)`` that are linked, as a written table.
+    ``members`` is a written table of ``key``, ``node``, ``rank`` and what
+    ``near`` needs.  ``near(x, y)`` is a Column over two aliases of it;
+    ``verify(pairs)`` returns those of the pairs ``(a, b)`` that are linked, as
+    a written table.
 
     Buckets aren't expanded into all their pairs.  In each hub round, a bucket's
-    members are compared with one of them; then only members that are still in
-    different components are compared with each other, so no link is lost.
-    ``links`` are known already.  Returns ``(node, component)`` for nodes with a
-    link.
+    members are compared with one of them: the one of the largest rank, then the
+    one of the largest rank outside the bucket's main component.  Then what isn't
+    in that component yet is compared with the members of other components, so
+    that no link is lost.  Returns ``(node, component)`` for nodes with a link.
     """
-    labels = None if links is None else materialize(connected(links), "labels")
+    labels = None
+    rest = [c for c in members.columns if c not in ("key", "node", "rank")]
+    hub = F.max(F.struct("rank", "node", "label", *rest)).alias("hub")
     for k in range(hub_rounds + 1):
         if labels is None:
             now = members.withColumn("label", F.col("node"))
+            hubs = now.groupBy("key").agg(hub, F.count("*").alias("n")).where("n > 1")
         else:
             now = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        pick = F.min if k % 2 == 0 else F.max
-        rest = [c for c in now.columns if c != "key"]
-        hubs = now.groupBy("key").agg(pick(F.struct("node", *[c for c in rest if c != "node"])).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        hubs = hubs.where("lo <> hi").select("key", "hub.*")
-        if labels is not None and hubs.isEmpty():
-            break
+            mains = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+            mains = mains.agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main.label")
+            mains = mains.withColumnRenamed("label", "main")
+            apart = now.join(mains, "key").where("label <> main")
+            hubs = apart.groupBy("key").agg(hub)
         if k < hub_rounds:
-            pairs = now.alias("x").join(hubs.alias("y"), "key").where("x.label <> y.label")
+            pairs = now.alias("x").join(hubs.select("key", "hub.*").alias("y"), "key").where("x.label <> y.label")
         else:
-            mixed = materialize(now.join(hubs.select("key"), "key", "left_semi"), "mixed")
-            pairs = mixed.alias("x").join(mixed.alias("y"), "key").where("x.label < y.label")
+            # of two that are both apart, one order is enough
+            pairs = apart.alias("x").join(now.alias("y"), "key").where("x.label < y.label or x.label > y.label and y.label = x.main")
         pairs = pairs.where(near("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         pairs = materialize(pairs.distinct(), "pairs")
         if labels is not None and pairs.isEmpty():
             continue
         new = verify(pairs)
-        links = new if links is None else links.union(new)
-        labels = materialize(connected(links), "labels")
+        labels = materialize(connected(new), "labels") if labels is None else extended(labels, new)
+        free(pairs)
     return labels
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string")) % mod
 

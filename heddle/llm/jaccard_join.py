@@ -6,8 +6,10 @@ no further, which leaves only near copies and documents made of common text.
 
 If two sets have a Jaccard similarity of at least t, then under *any* order of
 the shingles their prefixes of ``n - ceil(t n) + 1`` shingles meet.  The first
-order (rarest first) makes the candidates; they must also meet under orders that
-break ties of frequency in other ways, before the sets are intersected.
+order (rarest first) makes the candidates, as far as the numbers of shingles that
+each shares with any other class, from the bucket's one on, allow a link.  A candidate must also share
+prefix shingles under the other orders, which go by different hashes; only what
+passes all filters has its sets joined and intersected.
 
 Shingles travel packed: sorted, in differences, with a number for the class.
 """
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_components, materialize, release, table
+from .common import bucket_components, materialize, table
 
 WORDS, PERCENT = 5, 75
 #: Token orders beyond the first one.
@@ -144,22 +146,23 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, class long, n_shingles long")
 
 
-def _pack(hashes: np.ndarray, index: np.ndarray, classes: np.ndarray) -> bytes:
-    """Sorted hashes in differences, with the place of each one's class in ``classes``."""
+def _pack(hashes: np.ndarray, index: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Sorted hashes in differences, with the place of each one's class in ``classes``, whose sets have ``sizes``."""
     gaps = np.diff(np.r_[U(0), hashes])
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
     head = np.array([len(hashes), len(classes), width], dtype="<u4").tobytes()
     narrow = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return head + classes.astype("<i8").tobytes() + index.astype("<u2").tobytes() + narrow.tobytes()
+    return head + classes.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + index.astype("<u2").tobytes() + narrow.tobytes()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, k, width = np.frombuffer(data, dtype="<u4", count=3).tolist()
     classes = np.frombuffer(data, dtype="<i8", count=k, offset=12)
-    index = np.frombuffer(data, dtype="<u2", count=n, offset=12 + 8 * k)
+    sizes = np.frombuffer(data, dtype="<u4", count=k, offset=12 + 8 * k)
+    index = np.frombuffer(data, dtype="<u2", count=n, offset=12 + 12 * k)
     gaps = np.zeros((n, 8), dtype=np.uint8)
-    gaps[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=12 + 8 * k + 2 * n).reshape(n, width)
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), classes[index]
+    gaps[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=12 + 12 * k + 2 * n).reshape(n, width)
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), classes[index], sizes[index]
 
 
 def _postings(docs: DataFrame, buckets: int, words: int) -> DataFrame:
@@ -177,13 +180,13 @@ def _postings(docs: DataFrame, buckets: int, words: int) -> DataFrame:
             index = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
             order = np.argsort(hashes, kind="stable")
             hashes, index = hashes[order], index[order]
-            known = np.array(classes, dtype=np.int64)
+            known, counts = np.array(classes, dtype=np.int64), np.array(sizes, dtype=np.int64)
             cuts = np.searchsorted(hashes, np.arange(buckets + 1, dtype=np.uint64) << U(shift))
             rows = []
             for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
                 if j > i:
                     there, place = np.unique(index[i:j], return_inverse=True)
-                    rows.append((b, _pack(hashes[i:j], place, known[there])))
+                    rows.append((b, _pack(hashes[i:j], place, known[there], counts[there])))
             parts.clear(), sizes.clear(), classes.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "packed"]
@@ -211,115 +214,138 @@ def _postings(docs: DataFrame, buckets: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, packed binary")
 
 
-def _shared(buckets: int):
-    """For a bucket: the shingles that several classes have, gathered by class.
+def _shared(buckets: int, groups: int):
+    """For a bucket: the shingles that several classes have, for each group of classes.
 
-    ``data`` holds their ids, 4 or 8 bytes each, then their frequencies up to
-    255, a byte each.  An id is unique over all buckets.
+    A row packs its classes' digests, set sizes and numbers of shingles here,
+    then the shingles' ids, which are unique over all buckets, and their
+    frequencies up to 255.
     """
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x) for x in group["packed"]]
-        hashes, classes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        hashes, classes, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
         del parts
         order = np.argsort(hashes, kind="stable")
-        hashes, classes = hashes[order], classes[order]
-        del order
+        hashes, classes, sizes = hashes[order], classes[order], sizes[order]
         # what occurs once can't be shared; most shingles do, so the rest takes little memory
         same = hashes[1:] == hashes[:-1]
         several = np.r_[False, same] | np.r_[same, False]
-        hashes, classes = hashes[several], classes[several]
-        del same, several
+        hashes, classes, sizes = hashes[several], classes[several], sizes[several]
         # several tasks may have met one class
         order = np.lexsort((classes, hashes))
-        hashes, classes = hashes[order], classes[order]
+        hashes, classes, sizes = hashes[order], classes[order], sizes[order]
         new = np.r_[True, (hashes[1:] != hashes[:-1]) | (classes[1:] != classes[:-1])][: len(hashes)]
-        hashes, classes = hashes[new], classes[new]
-        if not len(hashes):
-            return pd.DataFrame({"class": classes, "k": classes, "data": [b""] * 0})
-        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        hashes, classes, sizes = hashes[new], classes[new], sizes[new]
+        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
         df = np.diff(np.r_[starts, len(hashes)])
-        ids = np.cumsum(df > 1) - 1
         keep = np.repeat(df > 1, df)
-        token, often, classes = np.repeat(ids, df)[keep], np.repeat(np.minimum(df, 255), df)[keep], classes[keep]
-        order = np.lexsort((token, classes))
-        token, often, classes = token[order] * buckets + key[0], often[order].astype(np.uint8), classes[order]
-        token = token.astype("<u4" if not len(token) or token.max() < 2**32 else "<u8")
-        cuts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]]) if len(classes) else np.zeros(0, dtype=np.int64)
-        ends = [*cuts[1:].tolist(), len(classes)]
-        data = [token[a:b].tobytes() + often[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=False)]
-        return pd.DataFrame({"class": classes[cuts], "k": np.diff(np.r_[cuts, len(classes)]).astype(np.int64) if len(cuts) else cuts, "data": data})
+        token = (np.repeat(np.cumsum(df > 1) - 1, df)[keep] * buckets + key[0]).astype(np.uint64)
+        often, classes, sizes = np.repeat(np.minimum(df, 255), df)[keep].astype(np.uint8), classes[keep], sizes[keep]
+        rows = []
+        to = (classes.view(np.uint64) % U(groups)).astype(np.int64)
+        order = np.lexsort((token, classes, to))
+        token, often, classes, sizes, to = token[order], often[order], classes[order], sizes[order], to[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)]).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            first = np.flatnonzero(np.r_[True, classes[a + 1 : b] != classes[a : b - 1]])
+            rows.append((int(to[a]), _pack_group(classes[a:b][first], sizes[a:b][first], np.diff(np.r_[first, b - a]), token[a:b], often[a:b])))
+        return pd.DataFrame(rows, columns=["grp", "packed"])
 
     return run
 
 
-def _read(k: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = len(data) // k - 1
-    return np.frombuffer(data, dtype=f"<u{width}", count=k).astype(np.uint64), np.frombuffer(data, dtype=np.uint8, offset=k * width)
+def _pack_group(classes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, token: np.ndarray, often: np.ndarray) -> bytes:
+    width = 4 if token.max() < 2**32 else 8
+    head = np.array([len(classes), len(token), width], dtype="<u4").tobytes()
+    return head + classes.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + token.astype(f"<u{width}").tobytes() + often.tobytes()
+
+
+def _unpack_group(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class, set size, id and frequency of each shingle."""
+    k, n, width = np.frombuffer(data, dtype="<u4", count=3).tolist()
+    classes = np.frombuffer(data, dtype="<i8", count=k, offset=12)
+    sizes = np.frombuffer(data, dtype="<u4", count=k, offset=12 + 8 * k)
+    counts = np.frombuffer(data, dtype="<u4", count=k, offset=12 + 12 * k)
+    token = np.frombuffer(data, dtype=f"<u{width}", count=n, offset=12 + 16 * k).astype(np.uint64)
+    often = np.frombuffer(data, dtype=np.uint8, offset=12 + 16 * k + width * n)
+    return np.repeat(classes, counts), np.repeat(sizes, counts), token, often
+
+
+def _read(k: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // k}", count=k)
 
 
 def _prefix(ids: np.ndarray, often: np.ndarray, n: int, percent: int, order: int) -> np.ndarray:
-    """The shared shingles among the first ``n - ceil(t n) + 1`` of a set, by frequency and then a hash of the id.
+    """The shared shingles among the first ``n - ceil(t n) + 1`` of a set.
 
-    Shingles of one class come first in every order, and match nothing.
+    Shingles of one class come first in every order, and match nothing.  The
+    first order then goes by frequency, the others by hashes of their own.
     """
     take = len(ids) + 1 - -(-percent * n // 100)
     if take <= 0:
         return ids[:0]
-    rank = np.lexsort((mix(ids, order), often))
+    hashed = mix(ids, order)
+    rank = np.lexsort((hashed, often)) if order == 1 else np.argsort(hashed, kind="stable")
     return ids[rank[:take]]
 
 
+def _gathered(percent: int):
+    """For a group of classes: those that can have a link, with their shared shingles and their prefixes under each order."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpack_group(x) for x in group["packed"]]
+        classes, sizes, token, often = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        del parts
+        order = np.lexsort((token, classes))
+        classes, sizes, token, often = classes[order], sizes[order], token[order], often[order]
+        cuts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
+        rows = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(classes)], strict=True):
+            n = int(sizes[a])
+            if (b - a) * 100 < n * percent:  # a link needs ceil(t n) shared shingles
+                continue
+            ids = token[a:b]
+            prefixes = [_prefix(ids, often[a:b], n, percent, o).astype(np.int64) for o in range(1, 2 + MORE_ORDERS)]
+            kind = "<u4" if ids[-1] < 2**32 else "<u8"
+            rows.append((int(classes[a]), n, b - a, ids.astype(kind).tobytes(), prefixes[0], prefixes[1:]))
+        return pd.DataFrame(rows, columns=["class", "n", "k", "data", "prefix", "others"])
+
+    return run
+
+
 def candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(class, n, k, data, prefix)`` for the classes that can have a link, as a written table."""
+    """``(class, n, k, data, prefix, others)`` for the classes that can have a link, as a written table."""
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, 1 << max(0, int(total / BUCKET)).bit_length())
-    found = _postings(docs, buckets, words).groupBy("bucket").applyInPandas(_shared(buckets), "class long, k long, data binary")
-    gathered = found.groupBy("class").agg(F.sum("k").alias("shared"), F.collect_list(F.struct("k", "data")).alias("parts"))
-    # a link needs ceil(t n) shared shingles
-    able = gathered.join(classes.select("class", "n"), "class").where(F.col("shared") * 100 >= F.col("n") * percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for c, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                both = [_read(p["k"], p["data"]) for p in parts]
-                ids, often = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-                order = np.argsort(ids)
-                ids, often = ids[order], often[order]
-                prefix = _prefix(ids, often, n, percent, 1).astype(np.int64)
-                kind = "<u4" if ids[-1] < 2**32 else "<u8"
-                rows.append((c, n, len(ids), ids.astype(kind).tobytes() + often.tobytes(), prefix))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["class", "n", "k", "data", "prefix"])
-
-    out = able.select("class", "n", "parts").mapInArrow(run, "class long, n long, k long, data binary, prefix array<long>")
-    return materialize(out, "jaccard-sets")
+    found = _postings(docs, buckets, words).groupBy("bucket").applyInPandas(_shared(buckets, buckets), "grp int, packed binary")
+    kinds = "class long, n long, k long, data binary, prefix array<long>, others array<array<long>>"
+    return materialize(found.groupBy("grp").applyInPandas(_gathered(percent), kinds), "jaccard-sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes that are linked: prefixes that meet under the other orders, then the sets themselves."""
+    """The pairs of classes that are linked: prefixes that meet under all other orders, then the sets themselves."""
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("class").alias(name), F.struct("n", "k", "data").alias(f"set_{name}"))
+    def joined(of: DataFrame, *columns: str) -> DataFrame:
+        for name in ("a", "b"):
+            of = of.join(sets.select(F.col("class").alias(name), F.struct(*columns).alias(f"set_{name}")), name)
+        return of
+
+    meet = F.lit(True)
+    for o in range(MORE_ORDERS):
+        meet &= F.arrays_overlap(F.col("set_a.others")[o], F.col("set_b.others")[o])
+    passed = materialize(joined(pairs, "others").where(meet).select("a", "b"), "jaccard-passed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                (ids, often), (ids2, often2) = _read(one["k"], one["data"]), _read(two["k"], two["data"])
-                n, n2 = one["n"], two["n"]
-                meet = all(
-                    len(np.intersect1d(_prefix(ids, often, n, percent, o), _prefix(ids2, often2, n2, percent, o), assume_unique=True))
-                    for o in range(2, 2 + MORE_ORDERS)
-                )
-                common = len(np.intersect1d(ids, ids2, assume_unique=True)) if meet else 0
-                good.append(meet and 100 * common >= percent * (n + n2 - common))
+                common = len(np.intersect1d(_read(one["k"], one["data"]), _read(two["k"], two["data"]), assume_unique=True))
+                good.append(100 * common >= percent * (one["n"] + two["n"] - common))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    both = joined(passed, "n", "k", "data").select("a", "b", "set_a", "set_b")
     return materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
@@ -332,21 +358,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     reachable by links.  Null and empty texts have the empty set and link with
     nothing, not even each other.  Texts of fewer than ``words`` words have
     their whole sequence as one shingle.  Copies, and repeated rows, have equal
-    sets and link.  Null ids count as larger than all others.  An empty table
+    sets and link.  Very long texts are shingled whole.  Null ids count as larger than all others.  An empty table
     gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     members = materialize(shingle_sets(rows, words), "shingle-sets")
     classes = members.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
     classes = materialize(classes, "classes")
     sets = candidates(rows, classes, words, percent)
-    release(spark)
 
     def near(x: str, y: str) -> Column:
-        return F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
+        # in the bucket of the first prefix shingle that both have, the intersection is among what each shares from there on
+        return F.least(f"{x}.rest", f"{y}.rest") * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
 
-    keyed = materialize(sets.select(F.explode("prefix").alias("key"), F.col("class").alias("node"), "n"), "prefixes")
+    keyed = sets.select(F.posexplode("prefix").alias("pos", "key"), F.col("class").alias("node"), "n", "k")
+    # an original shares more of its shingles than its copies do, and links with more of them: a good hub
+    rank = (F.col("k") / F.col("n")).alias("rank")
+    keyed = materialize(keyed.select("key", "node", rank, "n", (F.col("k") - F.col("pos")).alias("rest")), "prefixes")
     labels = bucket_components(keyed, near, lambda pairs: _verify(pairs, sets, percent))
     linked = labels.join(classes, labels["node"] == classes["class"]).select("class", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -113,8 +113,18 @@ def test_prefixes_meet_under_every_order():
 def test_packing_of_postings():
     hashes = np.sort(np.random.default_rng(2).integers(0, 2**56, 1000).astype(np.uint64))
     classes, index = np.array([-5, 7], dtype=np.int64), np.arange(1000) % 2
-    back, who = jaccard_join._unpack(jaccard_join._pack(hashes, index, classes))
-    assert (back == hashes).all() and (who == classes[index]).all()
+    sizes = np.array([2000, 2**31])
+    back, who, size = jaccard_join._unpack(jaccard_join._pack(hashes, index, classes, sizes))
+    assert (back == hashes).all() and (who == classes[index]).all() and (size == sizes[index]).all()
+
+
+def test_packing_of_groups():
+    classes, sizes, counts = np.array([-5, 7], dtype=np.int64), np.array([9, 8]), np.array([2, 3])
+    for top in (10, 2**40):
+        token, often = np.array([1, top, 2, 3, top], dtype=np.uint64), np.array([2, 3, 4, 5, 255], dtype=np.uint8)
+        who, size, back, freq = jaccard_join._unpack_group(jaccard_join._pack_group(classes, sizes, counts, token, often))
+        assert who.tolist() == [-5, -5, 7, 7, 7] and size.tolist() == [9, 9, 8, 8, 8]
+        assert (back == token).all() and (freq == often).all()
 
 
 def normal(line):
