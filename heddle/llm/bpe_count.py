@@ -142,7 +142,7 @@ class Counter:
             pieces.append(own)
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        new = set().union(*pieces) - self.seen.keys()
+        new = set().union(*pieces).difference(self.seen)
         known = self.learn(new)
         self.seen.update((k, v) for k, v in known.items() if len(k) <= LONGEST_KEY)
         for k in known.keys() - self.seen.keys():

@@ -182,7 +182,7 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list(set().union(*split) - known.keys())
+        new = list(set().union(*split).difference(known))
         ids = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
         known.update(zip(new, ((" ".join(map(str, x)), len(x), d) for x, d in zip(ids, self.decode(ids), strict=True)), strict=True))
         out = {}
@@ -203,7 +203,7 @@ class Codec:
         pieces = [split(t) for t in texts]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        new = set().union(*pieces) - self.seen.keys()
+        new = set().union(*pieces).difference(self.seen)
         self.seen.update(self.learn(list(new)))
         out = [list(map(self.seen.__getitem__, own)) for own in pieces]
         for k in new:

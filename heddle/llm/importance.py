@@ -43,7 +43,7 @@ class Grams:
         words = [tokens(t.lower()) for t in texts]
         if len(self.hashes) > REMEMBERED:
             self.hashes.clear()
-        for w in set().union(*words) - self.hashes.keys():
+        for w in set().union(*words).difference(self.hashes):
             self.hashes[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(texts))
         one = np.fromiter(map(self.hashes.__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(sizes.sum()))

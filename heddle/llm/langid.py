@@ -191,7 +191,7 @@ class Predictor:
             return ["und"] * n, [0.0] * n, [True] * n
         if len(self.index) > REMEMBERED:
             self.index.clear()
-        self.learn(list(set().union(*words) - self.index.keys()))
+        self.learn(list(set().union(*words).difference(self.index)))
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
         sums = np.zeros((n, self.table.shape[1]))
         filled = np.flatnonzero(sizes)

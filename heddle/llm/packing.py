@@ -9,8 +9,7 @@ Lengths are whole numbers up to the capacity, so a histogram of them, at most
    other, each the fullest that the remaining counts allow, for as many
    sequences as they allow;
 3. actual documents take the places of the rounded sizes;
-4. the small lengths, and large ones that fit, fill what is left by best fit,
-   then new sequences.
+4. the small lengths fill what is left by best fit, then new sequences.
 
 The plan is a list of runs "items ranks r..r+n of length l go to sequences
 s..s+n at offset o".  Documents get their rank among those of their length by
@@ -33,8 +32,8 @@ from .common import WHITE, materialize, table, tokenizer_path
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
 #: Lengths from this share of the capacity are large; so many groups of them.
-LARGE_SHARE, GROUPS = 1 / 16, 100
-REMEMBERED, LONGEST_KEY, SLICE = 600_000, 64, 256
+LARGE_SHARE, GROUPS = 1 / 4, 200
+REMEMBERED, LONGEST_KEY, SLICE = 600_000, 64, 512
 #: Rows that share a salt when documents of one length are numbered.
 ROWS_A_SALT = 20_000
 
@@ -55,7 +54,9 @@ class Encoder:
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was remembered before ``seen`` was last emptied
         self.words = re.compile(f"[^{WHITE}]+").findall
         # texts whose lower case can't interact with normalisation or make a special string
         self.odd = re.compile("[^\x00-\u02ff]|<\\|").search
@@ -98,9 +99,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.split(t) for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = list(set().union(*split) - self.seen.keys())
+        if len(self.seen) > REMEMBERED:  # frequent words come back from the older ones
+            self.older, self.seen = self.seen, {}
+        new = set().union(*split).difference(self.seen)
+        back = new.intersection(self.older)
+        self.seen.update((w, self.older[w]) for w in back)
+        new = list(new.difference(back))
         self.learn(new)
         out = [b"".join(map(self.seen.__getitem__, own)) for own in split]
         for w in new:
@@ -250,13 +254,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
 def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``: places in sequences of at most ``capacity``.
 
-    ``items`` has ``doc_id``, ``piece`` and a ``length`` from 1 to ``capacity``
-    for each row; it is read twice, so it should be a written table.  Rows of
+    ``items`` has ``doc_id``, ``piece``, ``start`` and a ``length`` from 1 to
+    ``capacity`` for each row; it is read twice, so it should be a written table.  Rows of
     one length are numbered within salts and then across them.
     """
     n_rows = items.count()
     salts = max(16, -(-n_rows // ROWS_A_SALT))
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int"))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int"))
     per_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_salt.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

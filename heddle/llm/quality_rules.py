@@ -180,7 +180,7 @@ class Scorer:
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.index) > REMEMBERED:
             self.index.clear()
-        self.learn(list(set().union(*words) - self.index.keys()))
+        self.learn(list(set().union(*words).difference(self.index)))
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
         ids = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
         ends = np.cumsum(sizes)
