@@ -6,6 +6,9 @@ pre-token's lowest rank by a segmented minimum, and merges all its pairs of
 that rank at once (left to right where they overlap); the symbols that survive
 are counted.  Merging all pairs of the lowest rank at once equals merging them
 one by one, as a merge only creates pairs of later ranks.
+
+Long words are first cut where no token can cross; what is still long is merged
+alone, with ranks looked up again only where a symbol changed.
 """
 
 from __future__ import annotations
@@ -17,16 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunk_pattern, table, tokenizer_path
+from .common import Cutter, Memory, chunk_pattern, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The pattern of the vocabulary's byte-level pre-tokenizer.  Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT = 1024
 #: Pieces of text whose counts a worker remembers, and the symbols of one round of merging.
-REMEMBERED, ROUND_SYMBOLS = 600_000, 1_000_000
-#: Longer pieces are counted but not remembered.
-LONGEST_KEY = 64
+REMEMBERED, ROUND_SYMBOLS = 400_000, 1_000_000
+#: Words of more bytes are cut; parts of more bytes are merged alone.
+LONG = 200
 SLICE = 256
 
 
@@ -56,6 +59,9 @@ class Merges:
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.words = regex.compile(PATTERN)
         self.none = len(keys)
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        self.tokens = [bytes(map(letters.__getitem__, t)) for t in vocab if all(c in letters for c in t)]
+        self.cutter: Cutter | None = None
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and place in the sorted table of each pair; ``none`` where there is no merge."""
@@ -65,6 +71,42 @@ class Merges:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Surviving symbols of each word."""
+        if max(map(len, words), default=0) <= LONG:
+            return self.together(words)
+        self.cutter = self.cutter or Cutter(self.tokens)
+        out = np.zeros(len(words), dtype=np.int64)
+        parts: list[bytes] = []
+        of: list[int] = []
+        for i, w in enumerate(words):
+            for part in self.cutter.cut(w) if len(w) > LONG else (w,):
+                if len(part) > LONG:
+                    out[i] += self.alone(part)
+                else:
+                    parts.append(part)
+                    of.append(i)
+        np.add.at(out, of, self.together(parts))
+        return out
+
+    def alone(self, word: bytes) -> int:
+        """Surviving symbols of one long word."""
+        symbols = self.byte_id[np.frombuffer(word, dtype=np.uint8)]
+        rank, at = self.rank_of(symbols[:-1], symbols[1:])
+        while len(rank) and (least := rank.min()) < self.none:
+            hit = np.flatnonzero(rank == least)
+            # of overlapping pairs in a row, every other one from the left
+            begins = np.r_[True, np.diff(hit) > 1]
+            place = np.arange(len(hit))
+            hit = hit[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            symbols[hit] = self.made[at[hit[0]]]
+            symbols, rank, at = np.delete(symbols, hit + 1), np.delete(rank, hit), np.delete(at, hit)
+            new = hit - np.arange(len(hit))  # places of the made symbols; their pairs to both sides change
+            pairs = np.unique(np.r_[new - 1, new])
+            pairs = pairs[(pairs >= 0) & (pairs < len(rank))]
+            rank[pairs], at[pairs] = self.rank_of(symbols[pairs], symbols[pairs + 1])
+        return len(symbols)
+
+    def together(self, words: list[bytes]) -> np.ndarray:
+        """Surviving symbols of each word, all words merged at once."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out = lengths.copy()
         symbols = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
@@ -98,7 +140,7 @@ class Counter:
     """Counts tokens of texts, remembering a bounded number of pieces."""
 
     def __init__(self, path: str):
-        self.merges, self.seen = Merges(path), {}
+        self.merges, self.seen = Merges(path), Memory(REMEMBERED)
 
     def learn(self, pieces: Iterable[str]) -> dict[str, int]:
         """Counts of the given pieces, in rounds of bounded size."""
@@ -140,18 +182,11 @@ class Counter:
                 own = pieces_of(t)
             out.append(extra)
             pieces.append(own)
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = set().union(*pieces).difference(self.seen)
-        known = self.learn(new)
-        self.seen.update((k, v) for k, v in known.items() if len(k) <= LONGEST_KEY)
-        for k in known.keys() - self.seen.keys():
-            self.seen[k] = known[k]
+        new = self.seen.unknown(set().union(*pieces))
+        self.seen.update(self.learn(new))
         for i, own in enumerate(pieces):
             out[i] += sum(map(self.seen.__getitem__, own))
-        for k in known:
-            if len(k) > LONGEST_KEY:
-                del self.seen[k]
+        self.seen.forget_long(new)
         return out
 
 
@@ -161,8 +196,8 @@ _counters: dict[str, Counter] = {}
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for each row of ``docs``.
 
-    Null text counts as empty: 0 bytes, 0 tokens.  Special strings inside a
-    text are one token each.  Repeated rows are each counted; ids may be null;
+    Null text counts as empty: 0 bytes, 0 tokens.  Very long texts and words
+    are counted whole.  Special strings inside a text are one token each.  Repeated rows are each counted; ids may be null;
     an empty table gives no rows; other columns are ignored.
     ``vocabulary`` is a file name of the public vocabularies; each worker reads
     its own machine's copy.  There is no shuffle.

@@ -4,8 +4,11 @@ Each Python worker keeps one in-memory DuckDB database with the merge table.
 The pre-tokens that it hasn't met yet become rows (word, position, symbol); a
 recursive query joins neighbouring symbols with the merge table, contracts each
 word's leftmost pair of the least rank, and goes on with the words that changed,
-until none does.  (In long words, that pair's later repetitions that don't
-overlap go with it, as they would come next anyway.)  Decoding joins ids with their bytes and aggregates in order.
+until none does.  Long words are first cut where no token can cross.  What is
+still long takes its rounds in a table instead of a recursive query, which would
+hold all of them; there a pair's later repetitions that don't overlap go with it,
+as they would come next anyway.  Decoding joins a document's ids with their bytes
+and aggregates them in order.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunk_pattern, table, tokenizer_path
+from .common import Cutter, Memory, chunk_pattern, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, and as many pre-tokens, that a worker remembers; letters of pre-tokens that one recursive query gets.
-REMEMBERED, QUERY_BYTES = 500_000, 500_000
-LONGEST_KEY = 64
-#: Words of more bytes are contracted by the query for long words.
+REMEMBERED, QUERY_BYTES = 400_000, 500_000
+#: Words of more bytes are cut; parts of more bytes take their rounds in a table.
 LONG = 100
-SLICE = 512
+#: Ids that one query decodes; rows that are encoded at once.
+DECODED_IDS, SLICE = 1_000_000, 512
 
 #: Rows (word, pos, sym, nxt): nxt is the symbol at pos + 1.  The pair at (p, p + 1) is contracted into the row p + 1.
 ENCODE = """
@@ -52,41 +55,29 @@ FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING
 ORDER BY word, pos
 """
 
-#: The same for long words: all of a word's pairs of its least rank go at once, of overlapping ones every other.
-ENCODE_LONG = """
-WITH RECURSIVE step(round, word, pos, sym) AS (
-    SELECT 0, word, pos, sym FROM tokens
-    UNION ALL
-    SELECT round + 1, word, pos, CASE WHEN take THEN made ELSE sym END
+#: One round of long words: all of a word's pairs of its least rank go at once, of overlapping ones every other.
+ROUND = """
+SELECT word, pos, CASE WHEN take THEN made ELSE sym END AS sym, least_made IS NULL AS done
+FROM (
+    SELECT *, lag(take, 1, false) OVER line AS gone
     FROM (
-        SELECT *, lag(take, 1, false) OVER line AS gone
+        SELECT *, hit AND (pos_no - max(CASE WHEN hit AND NOT before THEN pos_no END) OVER line) % 2 = 0 AS take
         FROM (
-            SELECT *, hit AND (pos_no - max(CASE WHEN hit AND NOT before THEN pos_no END) OVER line) % 2 = 0 AS take
+            SELECT *, coalesce(made = least_made, false) AS hit,
+                   coalesce(lag(made, 1) OVER line = least_made, false) AS before,
+                   row_number() OVER line AS pos_no
             FROM (
-                SELECT *, made IS NOT NULL AND made = least_made AS hit,
-                       coalesce(lag(made, 1) OVER line = least_made, false) AS before,
-                       row_number() OVER line AS pos_no
-                FROM (
-                    SELECT p.*, m.made, min(m.made) OVER (PARTITION BY p.word) AS least_made
-                    FROM (
-                        SELECT round, word, pos, sym, lead(sym) OVER line AS nxt
-                        FROM step
-                        WINDOW line AS (PARTITION BY word ORDER BY pos)
-                    ) p
-                    LEFT JOIN merges m ON m.l = p.sym AND m.r = p.nxt
-                ) WHERE least_made IS NOT NULL
-                WINDOW line AS (PARTITION BY word ORDER BY pos)
+                SELECT p.*, m.made, min(m.made) OVER (PARTITION BY p.word) AS least_made
+                FROM (SELECT word, pos, sym, lead(sym) OVER line AS nxt FROM step WINDOW line AS (PARTITION BY word ORDER BY pos)) p
+                LEFT JOIN merges m ON m.l = p.sym AND m.r = p.nxt
             ) WINDOW line AS (PARTITION BY word ORDER BY pos)
         ) WINDOW line AS (PARTITION BY word ORDER BY pos)
-    ) WHERE NOT gone
-)
-SELECT word, sym
-FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
-ORDER BY word, pos
+    ) WINDOW line AS (PARTITION BY word ORDER BY pos)
+) WHERE NOT gone
 """
 
 DECODE = """
-SELECT i.seq, string_agg(v.hex, '' ORDER BY i.pos) AS hex
+SELECT i.seq, list(v.bytes ORDER BY i.pos) AS parts
 FROM ids i JOIN vocabulary v ON v.id = i.id
 GROUP BY i.seq
 """
@@ -106,10 +97,11 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(path)
+        self.decimal = {r: str(r) for r in self.ranks.values()}
         self.one = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.words = regex.compile(public_tokenizers.PATTERN)
-        self.seen: dict[str, tuple[str, int, bytes]] = {}  # by piece
-        self.known: dict[str, tuple[str, int, bytes]] = {}  # by pre-token
+        self.seen, self.known = Memory(REMEMBERED), Memory(REMEMBERED)  # ids (32-bit) by piece, by pre-token
+        self.cutter: Cutter | None = None
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = [
             (self.ranks[t[:k]], self.ranks[t[k:]], r)
@@ -119,96 +111,109 @@ class Codec:
         ]
         left, right, made = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
         self.load("merges", pa.table({"l": left, "r": right, "made": made}))
-        self.load(
-            "vocabulary",
-            pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])}),
-        )
+        self.load("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())}))
 
     def load(self, name: str, rows: pa.Table) -> None:
         self.db.register("_rows", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM _rows")
         self.db.unregister("_rows")
 
-    def contract(self, words: list[bytes], which: list[int], sql: str) -> dict[int, list[int]]:
-        """Ids of the words numbered in ``which``, by one recursive query."""
-        text = np.frombuffer(b"".join([words[i] for i in which]), dtype=np.uint8)
-        sizes = np.fromiter((len(words[i]) for i in which), dtype=np.int64, count=len(which))
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word, by one recursive query, or by rounds in a table if a word is long."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(sizes)
-        sym = self.one[text]
-        nxt = np.r_[sym[1:], np.int32(-1)]
-        nxt[ends - 1] = -1
-        word = np.repeat(np.array(which, dtype=np.int32), sizes)
-        pos = (np.arange(len(text)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-        self.db.register("tokens", pa.table({"word": word, "pos": pos, "sym": sym, "nxt": nxt}))
-        found = self.db.execute(sql).fetchnumpy()
-        self.db.unregister("tokens")
-        word, sym = np.asarray(found["word"]), np.asarray(found["sym"])
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        flat, bounds = sym.tolist(), [*starts.tolist(), len(sym)]
-        return {w: flat[a:b] for w, a, b in zip(word[starts].tolist(), bounds, bounds[1:], strict=False)}
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word.  A word that is a token by itself is that token."""
-        out: list = [[r] if (r := self.ranks.get(w)) is not None else None for w in words]
-        for sql, which in (
-            (ENCODE, [i for i, ids in enumerate(out) if ids is None and len(words[i]) <= LONG]),
-            (ENCODE_LONG, [i for i, ids in enumerate(out) if ids is None and len(words[i]) > LONG]),
-        ):
-            group, n = [], 0
-            for i in [*which, None]:
-                if group and (i is None or n + len(words[i]) > QUERY_BYTES):
-                    for w, ids in self.contract(words, group, sql).items():
-                        out[w] = ids
-                    group, n = [], 0
-                if i is not None:
-                    group.append(i)
-                    n += len(words[i])
+        sym = self.one[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = (np.arange(len(sym)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+        if sizes.max() <= LONG:
+            nxt = np.r_[sym[1:], np.int32(-1)]
+            nxt[ends - 1] = -1
+            self.db.register("tokens", pa.table({"word": word, "pos": pos, "sym": sym, "nxt": nxt}))
+            found = self.db.execute(ENCODE).fetchnumpy()
+            self.db.unregister("tokens")
+        else:
+            self.load("step", pa.table({"word": word, "pos": pos, "sym": sym}))
+            self.db.execute("CREATE OR REPLACE TABLE finished (word INT, pos INT, sym INT)")
+            while self.db.execute("SELECT count(*) FROM step").fetchone()[0]:
+                self.db.execute(f"CREATE OR REPLACE TABLE after AS {ROUND}")
+                self.db.execute("INSERT INTO finished SELECT word, pos, sym FROM after WHERE done")
+                self.db.execute("CREATE OR REPLACE TABLE step AS SELECT word, pos, sym FROM after WHERE NOT done")
+            found = self.db.execute("SELECT word, sym FROM finished ORDER BY word, pos").fetchnumpy()
+        word, sym = np.asarray(found["word"]), np.asarray(found["sym"], dtype=np.int32)
+        return np.split(sym, np.flatnonzero(word[1:] != word[:-1]) + 1)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, 32 bits each.  A word that is a token by itself is that token."""
+        out: list = [None] * len(words)
+        parts: list[tuple[int, bytes]] = []
+        for i, w in enumerate(words):
+            if (r := self.ranks.get(w)) is not None:
+                out[i] = r.to_bytes(4, "little")
+            elif len(w) <= LONG:
+                parts.append((i, w))
+            else:
+                self.cutter = self.cutter or Cutter(self.ranks)
+                parts += [(i, p) for p in self.cutter.cut(w)]
+        ids: dict[int, list[bytes]] = {}
+        # many parts in a query: first the short ones, then the long ones
+        found: list[bytes] = [b""] * len(parts)
+        group, n = [], 0
+        order = sorted(range(len(parts)), key=lambda j: len(parts[j][1]))
+        for j in [*order, None]:
+            size = 0 if j is None else len(parts[j][1])
+            if group and (j is None or n + size > QUERY_BYTES or size > LONG >= len(parts[group[-1]][1])):
+                for k, got in zip(group, self.contract([parts[k][1] for k in group]), strict=True):
+                    found[k] = got.tobytes()
+                group, n = [], 0
+            if j is not None:
+                group.append(j)
+                n += size
+        for (i, _), got in zip(parts, found, strict=True):
+            ids.setdefault(i, []).append(got)
+        for i, got in ids.items():
+            out[i] = b"".join(got)
         return out
 
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
+    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
         """Bytes of each sequence of ids."""
-        sizes = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
-        flat = np.fromiter((x for ids in sequences for x in ids), dtype=np.int32, count=int(sizes.sum()))
-        seq = np.repeat(np.arange(len(sequences), dtype=np.int32), sizes)
-        pos = np.arange(len(flat), dtype=np.int64)
-        self.db.register("ids", pa.table({"seq": seq, "pos": pos, "id": flat}))
-        found = dict(self.db.execute(DECODE).fetchall())
-        self.db.unregister("ids")
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(sequences))]
-
-    def learn(self, pieces: list[str]) -> dict[str, tuple[str, int, bytes]]:
-        """Ids (as text), their number and their decoded bytes, for each piece."""
-        split = list(map(self.words.findall, pieces))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        ids = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
-        known.update(zip(new, ((" ".join(map(str, x)), len(x), d) for x, d in zip(ids, self.decode(ids), strict=True)), strict=True))
-        out = {}
-        for p, own in zip(pieces, split, strict=True):
-            if len(own) == 1:
-                out[p] = known[own[0]]
-            else:
-                text, n, data = zip(*map(known.__getitem__, own), strict=True)
-                out[p] = (" ".join(text), sum(n), b"".join(data))
-        for w in new:
-            if len(w) > LONGEST_KEY:
-                del known[w]
+        out: list[bytes] = [b""] * len(sequences)
+        sizes = [len(x) for x in sequences]
+        at = 0
+        while at < len(sequences):
+            to, n = at, 0
+            while to < len(sequences) and (to == at or n + sizes[to] <= DECODED_IDS):
+                n += sizes[to]
+                to += 1
+            flat = np.concatenate(sequences[at:to]).astype(np.int32)
+            seq = np.repeat(np.arange(at, to, dtype=np.int32), sizes[at:to])
+            self.db.register("ids", pa.table({"seq": seq, "pos": np.arange(len(flat)), "id": flat}))
+            found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+            self.db.unregister("ids")
+            for part in found.to_batches():
+                lists = part.column("parts")
+                data = memoryview(lists.values.buffers()[2]) if len(lists.values) else b""
+                starts = np.frombuffer(lists.values.buffers()[1], dtype=np.int32)[lists.values.offset :] if len(lists.values) else []
+                for k, a, b in zip(part.column("seq").to_pylist(), lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist(), strict=True):
+                    out[k] = bytes(data[starts[a] : starts[b]])
+            at = to
         return out
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """For each text its pieces, as ``learn`` gives them, in order."""
-        split = chunk_pattern().findall
-        pieces = [split(t) for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = set().union(*pieces).difference(self.seen)
-        self.seen.update(self.learn(list(new)))
-        out = [list(map(self.seen.__getitem__, own)) for own in pieces]
-        for k in new:
-            if len(k) > LONGEST_KEY:
-                del self.seen[k]
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces, which are those of their pre-tokens in order."""
+        split = list(map(self.words.findall, pieces))
+        new = self.known.unknown(set().union(*split))
+        self.known.update(zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
+        known = self.known.__getitem__
+        self.seen.update((p, known(own[0]) if len(own) == 1 else b"".join(map(known, own))) for p, own in zip(pieces, split, strict=True))
+        self.known.forget_long(new)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        pieces = list(map(chunk_pattern().findall, texts))
+        new = self.seen.unknown(set().union(*pieces))
+        self.learn(new)
+        out = [np.frombuffer(b"".join(map(self.seen.__getitem__, own)), dtype="<i4") for own in pieces]
+        self.seen.forget_long(new)
         return out
 
 
@@ -222,62 +227,59 @@ def codec(vocabulary: str) -> Codec:
     return _codecs[vocabulary]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield part.column(0), part.column(1).to_pylist()
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, ids, decoded)``: the ids of each text, and the bytes that they decode to.
+    """``(doc_id, ids)``: the ids of each text.
 
-    Null text counts as empty: no ids.  Ids may repeat or be null; every row
-    gives a row; an empty table gives none; other columns are ignored.  There
-    is no shuffle.
+    Null text counts as empty: no ids.  Texts and words of any length are
+    encoded whole, in bounded memory beside the text's own.  Ids may repeat or
+    be null; every row gives a row; an empty table gives none; other columns
+    are ignored.  There is no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = codec(vocabulary).encode([t or "" for t in part.column(1).to_pylist()])
-                ids = [[int(x) for p in row for x in p[0].split(" ") if x] for row in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([b"".join(p[2] for p in row) for row in rows], pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
-                )
+        for doc_ids, texts in _slices(batches):
+            ids = codec(vocabulary).encode([t or "" for t in texts])
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc_ids, lists], names=["doc_id", "ids"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, text)`` from ``(doc_id, ids)``; null ids decode to the empty text."""
+    """``(doc_id, text)`` from ``(doc_id, ids)``; null ids decode to the empty text, bytes that are no text to replacement characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = codec(vocabulary).decode([x or [] for x in part.column(1).to_pylist()])
-                text = [b.decode("utf-8", "replace") for b in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
+        for doc_ids, lists in _slices(batches):
+            found = codec(vocabulary).decode([np.array(x or [], dtype=np.int32) for x in lists])
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array([b.decode("utf-8", "replace") for b in found], pa.string())], names=["doc_id", "text"])
 
     rows = encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), encoded["ids"].alias("ids"))
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: as ``encode_documents``, with digests for the long columns."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: the ids of ``encode_documents`` and what they decode to, as digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = codec(vocabulary).encode([t or "" for t in part.column(1).to_pylist()])
-                sha = hashlib.sha256
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([sum(p[1] for p in row) for row in rows], pa.int64()),
-                        pa.array([sha(" ".join([p[0] for p in row]).encode()).hexdigest() for row in rows]),
-                        pa.array([sha(b"".join([p[2] for p in row])).hexdigest() for row in rows]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        sha = hashlib.sha256
+        for doc_ids, texts in _slices(batches):
+            own = codec(vocabulary)
+            ids = own.encode([t or "" for t in texts])
+            written = [sha(" ".join(map(own.decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]
+            decoded = [sha(x).hexdigest() for x in own.decode(ids)]
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array(list(map(len, ids)), pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,49 @@ def chunk_pattern():
     import re
 
     return re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+
+
+class Cutter:
+    """Cuts long words where no token of a vocabulary can cross, so that the parts are merged on their own with the same result."""
+
+    def __init__(self, tokens):
+        import ahocorasick
+
+        self.found = ahocorasick.Automaton()
+        for t in tokens:
+            if len(t) > 1:
+                self.found.add_word(t.decode("latin-1"), len(t))
+        self.found.make_automaton()
+
+    def cut(self, word: bytes) -> list[bytes]:
+        crossed = np.zeros(len(word) + 1, dtype=np.int32)
+        for end, size in self.found.iter(word.decode("latin-1")):
+            crossed[end - size + 2] += 1  # places inside the token, counted by the letter that follows
+            crossed[end + 1] -= 1
+        places = np.flatnonzero(np.cumsum(crossed)[1 : len(word)] == 0) + 1
+        bounds = [0, *places.tolist(), len(word)]
+        return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+class Memory(dict):
+    """Remembers a bounded number of things; when full, what was used since the last time stays."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that aren't remembered."""
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        back = new.intersection(self.older)
+        self.update((k, self.older[k]) for k in back)
+        return list(new.difference(back))
+
+    def forget_long(self, keys: list[str]) -> None:
+        """Long keys are rarely met again and would take room."""
+        for k in keys:
+            if len(k) > 64:
+                self.pop(k, None)

@@ -29,8 +29,8 @@ from .common import crc_mod, own, table
 BUCKETS, LONGEST_GRAM, CODE_BITS, SMOOTHING = 1 << 14, 3, 31, 0.5
 #: Share of the mean loss by which the two best codewords must differ.
 AMBIGUOUS_GAP = 0.05
-#: Distinct words whose n-grams a worker remembers; letters of a word that are looked at in one piece.
-REMEMBERED, LONGEST_WORD, SLICE = 300_000, 40, 256
+#: Distinct words whose n-grams a worker remembers.
+REMEMBERED, SLICE = 300_000, 256
 
 
 def word_list(text: str) -> list[str]:

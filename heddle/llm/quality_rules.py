@@ -63,12 +63,12 @@ def class_counts(texts: list[str]) -> np.ndarray:
     """Characters of each class in each text."""
     global _table
     if _table is None:
-        _table = np.array([class_of(chr(i)) for i in range(0x10000)], dtype=np.int8)
+        _table = np.array([class_of(chr(i)) for i in range(0x110000)], dtype=np.int8)
     k = len(CLASSES)
     out = np.zeros((len(texts), k), dtype=np.int64)
     for i, t in enumerate(texts):
         points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        out[i] = np.bincount(_table[np.minimum(points, 0xFFFF)], minlength=k)
+        out[i] = np.bincount(_table[points], minlength=k)
     return out
 
 
@@ -225,8 +225,9 @@ def repeat_words(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if total < 3:
         return np.zeros(n, dtype=np.int64)
     at = np.flatnonzero(owner[2:] == owner[:-2])
-    # numbers of words stay far below 2 ** 21
-    key = ids[at] << 42 | ids[at + 1] << 21 | ids[at + 2]
+    # places of pairs of words in their sorted order are below 2 ** 31, as numbers of words are
+    _, pair = np.unique(ids[at] << 31 | ids[at + 1], return_inverse=True)
+    key = pair.astype(np.int64) << 31 | ids[at + 2]
     order = np.lexsort((key, owner[at]))
     same = (key[order][1:] == key[order][:-1]) & (owner[at][order][1:] == owner[at][order][:-1])
     windows = at[np.union1d(order[1:][same], order[:-1][same])]
@@ -247,7 +248,7 @@ def judge(docs: DataFrame, refs: References | None = None, keep: tuple[str, ...]
 
     A text is compared with its language's reference or, if its language is null
     or has none, with the nearest one; without any reference the distances are
-    0 and pass.  Null text has no words, so it fails the base rules, as does an
+    0 and pass.  Very long texts are counted whole.  Null text has no words, so it fails the base rules, as does an
     empty one.  Repeated rows and null ids give a row each; an empty table none;
     other columns are ignored.
     """
