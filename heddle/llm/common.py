@@ -134,7 +134,7 @@ class Memory(dict):
             self.older = dict(self)
             self.clear()
         new = keys.difference(self)
-        back = new.intersection(self.older)
+        back = [k for k in new if k in self.older]  # an intersection would walk all older ones
         self.update((k, self.older[k]) for k in back)
         return list(new.difference(back))
 

@@ -33,7 +33,7 @@ from .common import WHITE, materialize, table, tokenizer_path
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
 #: Lengths from this share of the capacity are large; so many groups of them.
 LARGE_SHARE, GROUPS = 1 / 4, 200
-REMEMBERED, LONGEST_KEY, SLICE = 600_000, 64, 512
+REMEMBERED, LONGEST_KEY, SLICE = 600_000, 64, 1024
 #: Rows that share a salt when documents of one length are numbered.
 ROWS_A_SALT = 20_000
 
@@ -102,7 +102,7 @@ class Encoder:
         if len(self.seen) > REMEMBERED:  # frequent words come back from the older ones
             self.older, self.seen = self.seen, {}
         new = set().union(*split).difference(self.seen)
-        back = new.intersection(self.older)
+        back = [w for w in new if w in self.older]
         self.seen.update((w, self.older[w]) for w in back)
         new = list(new.difference(back))
         self.learn(new)
