@@ -74,8 +74,9 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    stay = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
