@@ -78,7 +78,9 @@ def test_token_batches(spark):
     assert batches(spark, [1000] * 10) == [4, 4, 2]
     assert batches(spark, [1] * 200) == [128, 72]
     assert batches(spark, [1, 9000, 1]) == [1, 1, 1]
-    assert [len(b) for b in adapters.token_aware_batches(["x"] * 200, len, 128, 4000)] == [128, 72]
+    assert adapters.call_bounds([1] * 200, 128, 4000) == [0, 128, 200]
+    assert adapters.call_bounds([3, 4, 5, 1, 1, 9, 2], 3, 8) == [0, 2, 5, 6, 7]
+    assert adapters.call_bounds([], 3, 8) == [0]
 
 
 def test_chunk_needs_text_and_finds_persisted_ancestor(spark):
@@ -218,9 +220,9 @@ def test_retries():
             raise adapters.RateLimited
         return "ok"
 
-    assert adapters.with_retries(flaky, 5, 5.0, slept.append) == "ok" and slept == [5.0, 10.0]
+    assert adapters.persistent(flaky, adapters.DELAYS, slept.append) == "ok" and slept == [5.0, 10.0]
     with pytest.raises(adapters.RateLimited):
-        adapters.with_retries(lambda: (_ for _ in ()).throw(adapters.RateLimited), 2, 1.0, slept.append)
+        adapters.persistent(lambda: (_ for _ in ()).throw(adapters.RateLimited), (1.0,), slept.append)
 
 
 def test_embedding_adapter(spark):
