@@ -135,6 +135,9 @@ def normal(line):
 
 
 def levenshtein(a, b):
+    for _ in range(2):  # what both begin and end with costs nothing
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        a, b = a[k:][::-1], b[k:][::-1]
     return DUCK.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0]
 
 
