@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_count, bpe_duckdb, exact_dedup, importance, jaccard_join, langid, line_dedup, packing, quality_rules, wrappers
+from . import bpe_count, bpe_duckdb, exact_dedup, importance, jaccard_join, langid, line_dedup, packing, periodic_runs, quality_rules, token_alignment, wrappers
 
 QUERIES = {
     "op1_importance_resampling": importance.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_token_counts": bpe_count.query,
+    "op11_token_alignment": token_alignment.query,
+    "op12_periodic_runs": periodic_runs.query,
 }
 
 SQL = {
