@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_count, bpe_duckdb, exact_dedup, importance, jaccard_join, langid, line_dedup, packing, periodic_runs, quality_rules, token_alignment, wrappers
+from . import bpe_count, bpe_duckdb, curve_neighbours, exact_dedup, importance, jaccard_join, langid, line_dedup, packing, periodic_runs, quality_rules, token_alignment, wrappers
 
 QUERIES = {
     "op1_importance_resampling": importance.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_counts": bpe_count.query,
     "op11_token_alignment": token_alignment.query,
     "op12_periodic_runs": periodic_runs.query,
+    "op13_curve_neighbours": curve_neighbours.query,
 }
 
 SQL = {
