@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
-from heddle.operators import community, evaluation, extraction, graph, ingest, search, sections
+from heddle.operators import community, evaluation, extraction, graph, ingest, search, sections, vector_index
 from heddle.operators.components import connected
 from heddle.schemas import BATCH_TEXTS, BATCH_TOKENS, DENSE_CANDIDATES, GRAPH_FACTS, LEXICAL_CANDIDATES, RELATION_KEY, TOP_K
-from heddle.session import materialize
+from heddle.session import materialize, shared_dir
 from heddle.sources.tables import STAR_SQL, chunk_rows, star_edges, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,6 +297,14 @@ def dense_topk_batch(spark, d):
     return search.top_k(query_pairs(spark, d), 10, by=["query_id"])
 
 
+@query("vector_index_topk", f"WITH {BATCH_SQL} SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INT) AS rank FROM pairs QUALIFY rank < 10")
+def vector_index_topk(spark, d):
+    """The query set through a written index of all vectors, by bounds on the cells, so exact."""
+    v = vectors(spark, d).withColumn("id", F.col("id").cast("long"))
+    index = vector_index.write_index(v.select("id", "embedding"), f"{shared_dir(spark)}/heddle/vector-index-{uuid.uuid4().hex}")
+    return vector_index.search(index, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10, probes=8, exact=True)
+
+
 @query("similarity_pairs", f"WITH {BATCH_SQL} SELECT query_id, id, score FROM pairs WHERE label = query_label AND query_id <> id AND score >= 0.3")
 def similarity_pairs(spark, d):
     label = vectors(spark, d).select("id", "label")
