@@ -65,6 +65,12 @@ def lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of the letters a-z stands in a text, in either case: a vector that needs no model."""
+    low = F.lower(text)
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)))
+
+
 def token_count(text: Column) -> Column:
     """Default for the tokenizer seam: words between spaces."""
     return F.size(F.regexp_extract_all(text, F.lit("[^ ]+"), F.lit(0)))

@@ -45,6 +45,19 @@ def rule_extraction(text: Column) -> Column:
     return F.transform(words, entity)
 
 
+def rule_relations(entities: Column) -> Column:
+    """Relations of the same default: each entity with the next one, typed by a hash of both names."""
+    kinds = F.array(*(F.lit(t) for t in RELATION_TYPES))
+
+    def relation(i: Column) -> Column:
+        a, b = F.get(entities, i)["name"], F.get(entities, i + 1)["name"]
+        at = F.conv(F.substring(F.md5(F.concat(a, b)), 1, 4), 16, 10).cast("int") % len(RELATION_TYPES)
+        return F.struct(a.alias("source"), F.get(kinds, at).alias("relation_type"), b.alias("target"))
+
+    places = F.when(F.size(entities) > 1, F.sequence(F.lit(0), F.size(entities) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, relation)
+
+
 def extract_missing(chunks: DataFrame, cache: DataFrame, extract: Callable[[Column], Column] = rule_extraction) -> DataFrame:
     """``(content_hash, entities)`` of contents that the cache lacks: each content once."""
     hashed = chunks.select(X.sha256_hex(F.col("text")).alias("content_hash"), "text")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
-from heddle.operators import community, evaluation, extraction, graph, ingest, search, sections, vector_index
+from heddle.operators import community, evaluation, extraction, graph, ingest, resolution, search, sections, vector_index
 from heddle.operators.components import connected
-from heddle.schemas import BATCH_TEXTS, BATCH_TOKENS, DENSE_CANDIDATES, GRAPH_FACTS, LEXICAL_CANDIDATES, RELATION_KEY, TOP_K
+from heddle.schemas import BATCH_TEXTS, BATCH_TOKENS, DENSE_CANDIDATES, ENTITY_TYPES, GRAPH_FACTS, LEXICAL_CANDIDATES, RELATION_KEY, RELATION_TYPES, TOP_K
 from heddle.session import materialize, shared_dir
 from heddle.sources.tables import STAR_SQL, chunk_rows, star_edges, table
 
@@ -725,6 +725,86 @@ def resolve_greedy(spark, d):
     return extraction.absorb_greedily(v, 0.35)
 
 
+def loaded_sql(k: int, which: str, before: str) -> str:
+    """Tables of the load number ``k``, of the documents ``which``, into a graph of the vertices ``before``: ``s`` the groups, ``v`` the vertices, ``ed`` the edges."""
+    cosine = "round(list_cosine_similarity({0}, {1}), 6)"
+    return f"""
+c{k} AS (SELECT *, {NORM.format('name')} AS key FROM cand WHERE {which}),
+g{k} AS (SELECT key, entity_type, arg_min(name, (doc_id, ord, k)) AS name, min((doc_id, ord, k)) AS pos FROM c{k} GROUP BY ALL),
+o{k} AS (SELECT {NORM.format('name')} AS key, entity_type, max(name) AS old FROM {before} GROUP BY ALL),
+x{k} AS (SELECT g{k}.*, old FROM g{k} LEFT JOIN o{k} USING (key, entity_type)),
+u{k} AS MATERIALIZED (SELECT *, {LETTER_SQL} AS e FROM x{k} WHERE old IS NULL),
+m{k} AS MATERIALIZED (SELECT * FROM (SELECT u.pos, b.name AS old, {cosine.format('u.e', 'b.e')} AS score FROM u{k} u JOIN (SELECT *, {LETTER_SQL} AS e FROM {before}) b USING (entity_type)) WHERE score >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY pos ORDER BY score DESC, old) = 1),
+r{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY pos) AS n FROM u{k} WHERE pos NOT IN (SELECT pos FROM m{k})),
+l{k} AS MATERIALIZED (SELECT entity_type, b.n, list(a.n) AS earlier FROM r{k} a JOIN r{k} b USING (entity_type) WHERE a.n < b.n AND {cosine.format('a.e', 'b.e')} >= 0.9 GROUP BY ALL),
+w{k} AS (SELECT DISTINCT entity_type, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS leaders FROM r{k}
+  UNION ALL SELECT w{k}.entity_type, r.n, CASE WHEN list_has_any(leaders, earlier) THEN leaders ELSE list_append(leaders, r.n) END
+  FROM w{k} JOIN r{k} r ON r.entity_type = w{k}.entity_type AND r.n = w{k}.n + 1 LEFT JOIN l{k} l ON l.entity_type = r.entity_type AND l.n = r.n),
+f{k} AS MATERIALIZED (SELECT entity_type, arg_max(leaders, n) AS leaders FROM w{k} GROUP BY 1),
+a{k} AS (SELECT r.key, r.entity_type, coalesce(list_min(list_intersect(l.earlier, f.leaders)), r.n) AS n FROM r{k} r JOIN f{k} f USING (entity_type) LEFT JOIN l{k} l ON l.entity_type = r.entity_type AND l.n = r.n),
+s{k} AS MATERIALIZED (SELECT key, entity_type, pos, old AS name, false AS late, false AS is_new FROM x{k} WHERE old IS NOT NULL
+  UNION ALL SELECT u.key, u.entity_type, u.pos, m.old, true, false FROM u{k} u JOIN m{k} m USING (pos)
+  UNION ALL SELECT a.key, a.entity_type, r.pos, r.name, true, true FROM a{k} a JOIN r{k} r ON r.entity_type = a.entity_type AND r.n = a.n),
+v{k} AS MATERIALIZED (SELECT entity_type, name FROM {before} UNION SELECT entity_type, name FROM s{k} WHERE is_new),
+raw{k} AS (SELECT c.name AS raw, arg_max(s.name, (late, s.pos)) AS name FROM c{k} c JOIN s{k} s USING (key, entity_type) GROUP BY 1),
+kind{k} AS (SELECT name, arg_max(entity_type, (late, pos)) AS entity_type FROM s{k} GROUP BY 1),
+end{k} AS MATERIALIZED (SELECT raw, name, entity_type FROM raw{k} JOIN kind{k} USING (name)),
+ed{k} AS (SELECT a.entity_type AS source_type, a.name AS source_name, upper(relation_type) AS relation_type, b.entity_type AS target_type, b.name AS target_name, chunk_id, doc_id FROM mention JOIN end{k} a ON a.raw = source JOIN end{k} b ON b.raw = target WHERE {which})
+"""
+
+
+LETTER_SQL = "[" + ", ".join(f"CAST(length(name) - length(replace(lower(name), '{chr(c)}', '')) AS DOUBLE)" for c in range(97, 123)) + "]"
+LOAD_SQL = f"""WITH RECURSIVE {CHUNK_SQL},
+hit AS (SELECT chunk_id, doc_id, lang, order_in_parent AS ord, unnest(l) AS name, unnest(range(len(l))) AS i FROM (SELECT *, regexp_extract_all(text, '[A-Z][a-z]{{4,}}') AS l FROM chunk)),
+cand AS MATERIALIZED (SELECT *, {list(ENTITY_TYPES)}[1 + CAST(('0x' || substr(md5(name), 1, 4))::INT % 9 AS INT)] AS entity_type
+  FROM (SELECT chunk_id, doc_id, lang, ord, name, row_number() OVER (PARTITION BY chunk_id ORDER BY min(i)) - 1 AS k FROM hit GROUP BY chunk_id, doc_id, lang, ord, name)),
+mention AS MATERIALIZED (SELECT a.chunk_id, a.doc_id, a.lang, a.name AS source, b.name AS target, {list(RELATION_TYPES)}[1 + CAST(('0x' || substr(md5(a.name || b.name), 1, 4))::INT % 9 AS INT)] AS relation_type
+  FROM cand a JOIN cand b ON b.chunk_id = a.chunk_id AND b.k = a.k + 1),
+v0 AS (SELECT '' AS entity_type, '' AS name WHERE false),
+{loaded_sql(1, "lang = 'en'", 'v0')},
+{loaded_sql(2, 'true', 'v1')}
+"""
+
+
+def load_batch(store: resolution.StoredGraph, docs: DataFrame) -> DataFrame:
+    """Extracts by the default rule, each content once, and loads the documents."""
+    chunks = chunk_rows(docs)
+    cache = materialize(extraction.extract_missing(chunks, docs.sparkSession.createDataFrame([], "content_hash string")), "extractions")
+    hashed = chunks.select("chunk_id", "doc_id", "order_in_parent", X.sha256_hex(F.col("text")).alias("content_hash"))
+    found = hashed.join(cache, "content_hash")
+    each = found.select("doc_id", "order_in_parent", F.posexplode("entities").alias("k", "e"))
+    pos = F.format_string("%019d:%010d:%010d", "doc_id", "order_in_parent", "k")
+    mentions = found.select("chunk_id", F.col("doc_id").cast("string").alias("document_id"), F.explode(extraction.rule_relations(F.col("entities"))).alias("r"))
+    return resolution.resolve_and_load(
+        store,
+        docs.select(F.col("doc_id").cast("string").alias("document_id")),
+        each.select(pos.alias("pos"), "e.name", "e.entity_type"),
+        mentions.select("r.*", "chunk_id", "document_id"),
+        lambda names: names.select("pos", X.letter_counts(F.col("name")).alias("embedding")),
+    )
+
+
+def loaded_graph(spark: SparkSession, d: str) -> resolution.StoredGraph:
+    """The documents' graph after two loads: one language first, then all, whose first part is loaded again."""
+    docs = table(spark, d, "documents")
+    store = resolution.StoredGraph(spark, f"{shared_dir(spark)}/heddle/graph-{uuid.uuid4().hex}", 16)
+    load_batch(store, docs.where("lang = 'en'"))
+    load_batch(store, docs)
+    return store
+
+
+@query("resolve_and_load", f"{LOAD_SQL} SELECT source_type, source_name, relation_type, target_type, target_name, count(*) AS n_mentions FROM ed2 GROUP BY ALL")
+def resolve_and_load(spark, d):
+    edges = loaded_graph(spark, d).edges()
+    return edges.groupBy("source_type", "source_name", "relation_type", "target_type", "target_name").agg(F.count("*").alias("n_mentions"))
+
+
+@query("resolved_vertices", f"{LOAD_SQL} SELECT entity_type, name FROM v2")
+def resolved_vertices(spark, d):
+    return loaded_graph(spark, d).vertices().select("entity_type", "name")
+
+
 @query("normalize_names", f"WITH n AS (SELECT p_name AS name FROM part UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier) SELECT name, {NORM.format('name')} AS key FROM n")
 def normalize_names(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).union(table(spark, d, "customer").select("c_name")).union(table(spark, d, "supplier").select("s_name")).distinct()
