@@ -518,16 +518,15 @@ def connected_components(spark, d):
     return connected(orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("b")))
 
 
-def part_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Parts with their brand and type: ``(a, b, weight)``."""
-    edges = star_edges(spark, d).where(F.col("relation_type").isin("DEFINED_IN", "IS_PREREQUISITE_FOR"))
-    w = graph.edge_weights(edges)
+def graph_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The whole graph as ``(a, b, weight)``."""
+    w = graph.edge_weights(star_edges(spark, d))
     return w.select(F.concat_ws(":", "a_type", "a_name").alias("a"), F.concat_ws(":", "b_type", "b_name").alias("b"), "weight")
 
 
 @query("communities")
 def communities(spark, d):
-    return community.community_table(community.detect_communities(part_graph(spark, d)))
+    return community.community_table(community.detect_communities(graph_weights(spark, d), least_gain=1e-4))
 
 
 @query("community_build_summary", """
