@@ -7,6 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
+from heddle.session import materialize
+
+#: Parts of a page that hold no section text, elements that end a paragraph, and the named characters that are decoded.
+HIDDEN = ("head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form")
+BLOCKS = (
+    "address", "article", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "header", "hr", "html", "li", "main", "ol", "p", "pre",
+    "section", "table", "td", "th", "tr", "ul",
+)
+CHARACTERS = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+#: Marks of a heading's begin and of a block's bounds, characters that no page needs.
+HEADING, BOUND = "\x01", "\x02"
+#: In order: what is replaced, by what.
+REWRITES = (
+    ("(?is)<!--.*?-->" + "".join(f"|<{t}\\b[^>]*>.*?</{t}\\s*>" for t in HIDDEN), BOUND),
+    ("[\x01\x02]", BOUND),
+    ("\\s+", " "),
+    *((f"(?i)<h{n}\\b[^>]*>", f"{BOUND}{HEADING}{n}") for n in range(1, 7)),
+    ("(?i)</?(?:h[1-6]|" + "|".join(BLOCKS) + ")\\b[^>]*>", BOUND),
+    ("<[/!?a-zA-Z][^>]*>", ""),
+)
 
 
 def heading_tree(headings: DataFrame) -> DataFrame:
@@ -38,31 +58,27 @@ def sibling_ordinals(tree: DataFrame) -> DataFrame:
     return tree.withColumn("order_in_parent", F.row_number().over(w) - 1)
 
 
-def build_chunks(tree: DataFrame, depth: int = 6) -> DataFrame:
+def build_chunks(tree: DataFrame) -> DataFrame:
     """Chunks of a tree ``(doc_id, slug, pos, level, title, text, parent_pos)``.
 
     A section with text is a chunk.  Its path joins the labels of the headings
-    above it; its parent is the nearest ancestor with text, met by following
-    parents ``depth`` times at most (levels of headings).
+    above it; its parent is the nearest ancestor with text.  Parents are followed
+    for all sections at once, until none has one left: as often as headings nest.
     """
     label = X.path_label(X.first_filled(X.clause_number(F.col("title")), F.col("title")))
-    node = sibling_ordinals(tree).withColumn("label", label)
+    node = materialize(sibling_ordinals(tree).withColumn("label", label), "sections")
     up = node.select(F.col("doc_id").alias("a_doc"), F.col("pos").alias("a_pos"), F.col("label").alias("a_label"), F.col("parent_pos").alias("a_parent"), (F.length("text") > 0).alias("a_text"))
-    walk = node.withColumns(
-        {"path": F.col("label"), "above": F.col("parent_pos"), "chunk_parent_pos": F.lit(None).cast("int"), "parent_path": F.lit(None).cast("string")}
-    )
-    for _ in range(depth):
-        step = walk.join(up, (F.col("doc_id") == F.col("a_doc")) & (F.col("above") == F.col("a_pos")), "left")
-        found = F.col("chunk_parent_pos").isNull() & F.coalesce("a_text", F.lit(False))
-        walk = step.withColumns(
-            {
-                "chunk_parent_pos": F.when(found, F.col("a_pos")).otherwise(F.col("chunk_parent_pos")),
-                "path": F.when(F.col("a_pos").isNull(), F.col("path")).otherwise(X.path_join(F.col("a_label"), F.col("path"))),
-                "above": F.col("a_parent"),
-            }
-        ).drop("a_doc", "a_pos", "a_label", "a_parent", "a_text")
+    walk = node.where(F.length("text") > 0).select("doc_id", "pos", F.col("label").alias("path"), F.col("parent_pos").alias("above"), F.lit(None).cast("int").alias("chunk_parent_pos"))
+    done = walk.where("above is null")
+    open_ = materialize(walk.where("above is not null"), "walk")
+    while not open_.isEmpty():
+        step = open_.join(up, (F.col("doc_id") == F.col("a_doc")) & (F.col("above") == F.col("a_pos")))
+        found = F.coalesce("chunk_parent_pos", F.when(F.col("a_text"), F.col("a_pos")))
+        step = materialize(step.select("doc_id", "pos", X.path_join(F.col("a_label"), F.col("path")).alias("path"), F.col("a_parent").alias("above"), found.alias("chunk_parent_pos")), "walk")
+        done = done.unionByName(step.where("above is null"))
+        open_ = step.where("above is not null")
     slug = X.path_label(F.col("slug"))
-    return walk.where(F.length("text") > 0).select(
+    return node.join(done, ["doc_id", "pos"]).select(
         "doc_id", "pos", "level", X.clause_number(F.col("title")).alias("clause_number"), "title", X.path_join(slug, F.col("path")).alias("path"),
         "chunk_parent_pos", "order_in_parent", "text",
     )
@@ -105,6 +121,37 @@ def token_batches(texts: DataFrame, max_texts: int, max_tokens: int) -> DataFram
     return rows.select("doc_id", F.explode(F.aggregate("ts", start, step, lambda acc: acc["out"])).alias("o")).select("doc_id", "o.pos", "o.batch")
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """``(doc_id, pos, level, text)`` of ``(page_id, html)``: headings with their level and paragraphs with level 0, in page order.
+
+    Paragraphs may be left open and hold other elements; white space runs
+    together, and what shows nothing or isn't the page's own text (``HIDDEN``)
+    goes.  Null pages have no blocks.  All in compiled expressions, page by page.
+    """
+    html = F.col("html")
+    for pattern, to in REWRITES:
+        html = F.regexp_replace(html, pattern, to)
+    blocks = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(html, BOUND)).alias("pos", "block"))
+    heading = F.col("block").startswith(HEADING)
+    text = F.when(heading, F.substring("block", 3, 2**31 - 1)).otherwise(F.col("block"))
+    for name, letter in CHARACTERS:
+        text = F.replace(text, F.lit(name), F.lit(letter))
+    level = F.when(heading, F.substring("block", 2, 1).cast("int")).otherwise(0)
+    return blocks.select("doc_id", "pos", level.alias("level"), F.trim(text).alias("text")).where(F.length("text") > 0)
+
+
+def block_sections(blocks: DataFrame) -> DataFrame:
+    """``(doc_id, pos, level, title, text)``: headings with the paragraphs up to the next one, joined by line ends.
+
+    Paragraphs before a page's first heading belong to no section.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    marked = blocks.withColumn("section", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(w)).where("section > 0")
+    body = F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "text"))))
+    grouped = marked.groupBy("doc_id", "section").agg(F.max("level").alias("level"), F.max(F.when(F.col("level") > 0, F.col("text"))).alias("title"), body.alias("body"))
+    return grouped.select("doc_id", (F.col("section") - 1).cast("int").alias("pos"), "level", "title", F.array_join(F.transform("body", lambda b: b["text"]), "\n").alias("text"))
+
+
 def page_sections(pages: DataFrame) -> DataFrame:
     """Title and body of pages with one heading: paragraphs joined by line ends."""
     paragraphs = F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), F.lit(1))

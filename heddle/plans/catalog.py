@@ -127,63 +127,106 @@ def chunk_paragraphs(spark, d):
     )
 
 
-HEADINGS = (
-    "Article 32(1)", "article 6a Foo", "Annex A.8 x", "Annex Applies", "A.8.1 Inv", "A.8.", "4.2.3 Foo", "4.2a", "4.2.3a", "2 Normative references", "  A.8 lead",
-)
-HEADINGS_SQL = "h(pos, title) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(HEADINGS)) + ")"
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def block_sql() -> str:
+    """``block(doc_id, i, level, text)`` of all pages."""
+    html = "html"
+    for pattern, to in sections.REWRITES:
+        html = f"regexp_replace({html}, {_sql_text(pattern)}, {_sql_text(to)}, 'g')"
+    text = f"CASE WHEN starts_with(b, '{sections.HEADING}') THEN substr(b, 3) ELSE b END"
+    for name, letter in sections.CHARACTERS:
+        text = f"replace({text}, {_sql_text(name)}, {_sql_text(letter)})"
+    return f"""
+cut AS (SELECT page_id AS doc_id, string_split({html}, '{sections.BOUND}') AS bs FROM pages),
+each AS (SELECT doc_id, unnest(bs) AS b, unnest(range(len(bs))) AS i FROM cut),
+block AS (SELECT * FROM (SELECT doc_id, i, CASE WHEN starts_with(b, '{sections.HEADING}') THEN CAST(substr(b, 2, 1) AS INT) ELSE 0 END AS level, trim({text}) AS text FROM each) WHERE length(text) > 0),
+sect AS (SELECT doc_id, CAST(s - 1 AS INT) AS pos, max(level) AS level, max(text) FILTER (WHERE level > 0) AS title, coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS text
+  FROM (SELECT *, count(*) FILTER (WHERE level > 0) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM block) WHERE s > 0 GROUP BY doc_id, s)
+"""
+
+
+def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
+    return sections.block_sections(sections.page_blocks(table(spark, d, "pages")))
+
+
+@query("page_blocks", f"WITH {block_sql()} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, level, text FROM block")
+def page_blocks(spark, d):
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")
+    return sections.page_blocks(table(spark, d, "pages")).select("doc_id", place.alias("place"), "level", "text")
+
+
+@query("parsed_sections", f"WITH {block_sql()} SELECT * FROM sect")
+def parsed_sections(spark, d):
+    return parsed_pages(spark, d)
+
+
+#: Headings of all pages, numbered in each of the styles of clauses.
+STYLES = ("Article {0}", "Annex B.{0}.{1}", "A.{0}.{1}", "{0}.{1}", "")
+STYLE_SQL = "[" + ", ".join("'" + s.replace("{0}", "' || (doc_id % 90 + 1) || '").replace("{1}", "' || (pos + 1) || '") + "'" for s in STYLES) + "]"
 
 
 @query("clause_numbers", f"""
-WITH {HEADINGS_SQL} SELECT pos, coalesce(nullif(regexp_extract(trim(title), '(?i)^(Article\\s+\\d+[a-z]?)\\b', 1), ''), nullif(regexp_extract(trim(title), '(?i)^(Annex\\s+[A-Z](?:\\.\\d+)*)\\b', 1), ''),
+WITH {block_sql()}, h AS (SELECT doc_id, pos, ({STYLE_SQL})[1 + doc_id % {len(STYLES)}] || ' ' || title AS title FROM sect)
+SELECT doc_id, pos, coalesce(nullif(regexp_extract(trim(title), '(?i)^(Article\\s+\\d+[a-z]?)\\b', 1), ''), nullif(regexp_extract(trim(title), '(?i)^(Annex\\s+[A-Z](?:\\.\\d+)*)\\b', 1), ''),
 nullif(regexp_extract(trim(title), '^([A-Z]\\.\\d+(?:\\.\\d+)*)\\b', 1), ''), nullif(regexp_extract(trim(title), '^(\\d+(?:\\.\\d+)+)\\b', 1), '')) AS clause_number,
 coalesce(nullif(lower(trim(regexp_replace(trim(title), '[^a-zA-Z0-9_]+', '_', 'g'), '_')), ''), 'section') AS label FROM h
 """)
 def clause_numbers(spark, d):
-    rows = spark.createDataFrame(list(enumerate(HEADINGS)), "pos int, title string")
-    return rows.select("pos", X.clause_number(F.col("title")).alias("clause_number"), X.path_label(F.col("title")).alias("label"))
+    number = lambda s: F.format_string(s.replace("{0}", "%1$d").replace("{1}", "%2$d"), F.col("doc_id") % 90 + 1, F.col("pos") + 1)
+    style = F.get(F.array(*map(number, STYLES)), (F.col("doc_id") % len(STYLES)).cast("int"))
+    rows = parsed_pages(spark, d).withColumn("title", F.concat(style, F.lit(" "), F.col("title")))
+    return rows.select("doc_id", "pos", X.clause_number(F.col("title")).alias("clause_number"), X.path_label(F.col("title")).alias("label"))
 
 
-LEVELS = (1, 2, 3, 3, 2, 4, 1, 3, 2)
-TITLES = ("4 Context", "4.1 Scope", "Purpose", "Purpose", "A.8 Assets", "A.8.1 Inventory", "Annex A", "Owners", "5.1 Policy")
-TREE_SQL = "t(pos, level, title) AS (VALUES " + ", ".join(f"({i}, {v}, '{t}')" for i, (v, t) in enumerate(zip(LEVELS, TITLES, strict=True))) + ")"
+#: Lines of all documents as an outline: the level goes by the length, and every fifth length has no text of its own.
+OUTLINE_SQL = f"""{CHUNK_SQL},
+t AS MATERIALIZED (SELECT doc_id, order_in_parent AS pos, CAST(1 + length(text) % 4 AS INT) AS level, text AS title, length(text) % 5 > 0 AS has_text, source || '_' || doc_id AS slug FROM chunk),
+p AS MATERIALIZED (SELECT a.doc_id, a.pos, any_value(a.level) AS level, any_value(a.title) AS title, any_value(a.has_text) AS has_text, any_value(a.slug) AS slug, max(b.pos) AS parent
+  FROM t a LEFT JOIN t b ON b.doc_id = a.doc_id AND b.pos < a.pos AND b.level < a.level GROUP BY a.doc_id, a.pos)
+"""
 
 
-def literal_tree(spark: SparkSession) -> DataFrame:
-    rows = [(0, i, v, t, "" if i in (1, 6) else f"text of {t}", "iso27001.pdf") for i, (v, t) in enumerate(zip(LEVELS, TITLES, strict=True))]
-    return spark.createDataFrame(rows, "doc_id long, pos int, level int, title string, text string, filename string")
+def outline(spark: SparkSession, d: str) -> DataFrame:
+    c = chunk_rows(table(spark, d, "documents"))
+    n = F.length("text")
+    slug = F.concat_ws("_", "source", F.col("doc_id").cast("string"))
+    return c.select("doc_id", F.col("order_in_parent").alias("pos"), (1 + n % 4).cast("int").alias("level"), F.col("text").alias("title"), F.when(n % 5 > 0, F.col("text")).otherwise("").alias("text"), slug.alias("slug"))
 
 
-@query("heading_tree", f"""
-WITH {TREE_SQL} SELECT pos, level, title, CAST((SELECT max(b.pos) FROM t b WHERE b.pos < a.pos AND b.level < a.level) AS INT) AS parent_pos FROM t a
-""")
+@query("heading_tree", f"WITH {OUTLINE_SQL} SELECT doc_id, pos, level, parent AS parent_pos FROM p")
 def heading_tree(spark, d):
-    return sections.heading_tree(literal_tree(spark)).select("pos", "level", "title", "parent_pos")
+    return sections.heading_tree(outline(spark, d)).select("doc_id", "pos", "level", "parent_pos")
+
+
+SECTION_SQL = f"""{OUTLINE_SQL},
+l AS MATERIALIZED (SELECT *, coalesce(nullif(regexp_extract(trim(title), '(?i)^(Article\\s+\\d+[a-z]?)\\b', 1), ''), nullif(regexp_extract(trim(title), '(?i)^(Annex\\s+[A-Z](?:\\.\\d+)*)\\b', 1), ''),
+  nullif(regexp_extract(trim(title), '^([A-Z]\\.\\d+(?:\\.\\d+)*)\\b', 1), ''), nullif(regexp_extract(trim(title), '^(\\d+(?:\\.\\d+)+)\\b', 1), '')) AS clause,
+  row_number() OVER (PARTITION BY doc_id, parent ORDER BY pos) - 1 AS place FROM p),
+n AS MATERIALIZED (SELECT *, coalesce(nullif(lower(trim(regexp_replace(trim(coalesce(clause, title)), '[^a-zA-Z0-9_]+', '_', 'g'), '_')), ''), 'section') AS label FROM l),
+w AS (SELECT doc_id, pos, label AS path, parent AS above, CAST(NULL AS INT) AS found FROM n WHERE has_text
+  UNION ALL SELECT w.doc_id, w.pos, n.label || '.' || w.path, n.parent, CASE WHEN w.found IS NULL AND n.has_text THEN n.pos ELSE w.found END FROM w JOIN n ON n.doc_id = w.doc_id AND n.pos = w.above),
+sc AS MATERIALIZED (SELECT n.doc_id, n.pos, clause AS clause_number, lower(slug) || '.' || w.path AS path, w.found AS chunk_parent_pos, CAST(n.place AS INT) AS order_in_parent
+  FROM n JOIN w ON w.doc_id = n.doc_id AND w.pos = n.pos AND w.above IS NULL)
+"""
 
 
-@query("section_chunks", f"""
-WITH RECURSIVE {TREE_SQL},
-p AS (SELECT a.*, (SELECT max(b.pos) FROM t b WHERE b.pos < a.pos AND b.level < a.level) AS parent, pos NOT IN (1, 6) AS has_text,
-  coalesce(nullif(regexp_extract(title, '(?i)^(Annex\\s+[A-Z](?:\\.\\d+)*)\\b', 1), ''), nullif(regexp_extract(title, '^([A-Z]\\.\\d+(?:\\.\\d+)*)\\b', 1), ''), nullif(regexp_extract(title, '^(\\d+(?:\\.\\d+)+)\\b', 1), '')) AS clause FROM t a),
-l AS (SELECT *, lower(trim(regexp_replace(coalesce(clause, title), '[^a-zA-Z0-9_]+', '_', 'g'), '_')) AS label FROM p),
-w AS (SELECT pos, label AS path, parent AS above, CAST(NULL AS INT) AS found FROM l
-  UNION ALL SELECT w.pos, l.label || '.' || w.path, l.parent, CASE WHEN w.found IS NULL AND l.has_text THEN l.pos ELSE w.found END FROM w JOIN l ON l.pos = w.above)
-SELECT l.pos, clause AS clause_number, 'iso27001.' || w.path AS path, CAST(w.found AS INT) AS chunk_parent_pos,
-  CAST((SELECT count(*) FROM l s WHERE s.parent IS NOT DISTINCT FROM l.parent AND s.pos < l.pos) AS INT) AS order_in_parent
-FROM l JOIN w ON w.pos = l.pos AND w.above IS NULL WHERE has_text
-""")
+@query("section_chunks", f"WITH RECURSIVE {SECTION_SQL} SELECT * FROM sc")
 def section_chunks(spark, d):
-    tree = sections.heading_tree(literal_tree(spark)).withColumn("slug", X.document_slug(F.col("filename")))
-    return sections.build_chunks(tree).select("pos", "clause_number", "path", "chunk_parent_pos", "order_in_parent")
-
-
-PATHS = (("a", None), ("a.b", "a"), ("a", None), ("a.c", "a"), ("a.c.d", "a.c"))
-PATHS_SQL = "c(pos, path, parent_path) AS (VALUES " + ", ".join(f"({i}, '{p}', {'NULL' if q is None else repr(q)})" for i, (p, q) in enumerate(PATHS)) + ")"
+    return sections.build_chunks(sections.heading_tree(outline(spark, d))).select("doc_id", "pos", "clause_number", "path", "chunk_parent_pos", "order_in_parent")
 
 
-@query("chunk_parents", f"WITH {PATHS_SQL} SELECT pos, path, CAST((SELECT max(b.pos) FROM c b WHERE b.path = a.parent_path AND b.pos < a.pos) AS INT) AS parent_id FROM c a")
+@query("chunk_parents", f"""
+WITH RECURSIVE {SECTION_SQL}, c AS MATERIALIZED (SELECT a.doc_id, a.pos, a.path, b.path AS parent_path FROM sc a LEFT JOIN sc b ON b.doc_id = a.doc_id AND b.pos = a.chunk_parent_pos)
+SELECT a.doc_id, a.pos, md5(a.path) AS path, max(b.pos) AS parent_id FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.path = a.parent_path AND b.pos < a.pos GROUP BY ALL
+""")
 def chunk_parents(spark, d):
-    rows = spark.createDataFrame([(0, i, p, q) for i, (p, q) in enumerate(PATHS)], "doc_id long, pos int, path string, parent_path string")
-    return sections.latest_preceding_parent(rows).select("pos", "path", "parent_id")
+    c = materialize(section_chunks(spark, d), "section-chunks")
+    above = c.select("doc_id", F.col("pos").alias("chunk_parent_pos"), F.col("path").alias("parent_path"))
+    rows = c.join(above, ["doc_id", "chunk_parent_pos"], "left").select("doc_id", "pos", "path", "parent_path")
+    return sections.latest_preceding_parent(rows).select("doc_id", "pos", F.md5("path").alias("path"), "parent_id")
 
 
 @query("subtree_query", f"WITH {CHUNK_SQL} SELECT chunk_id, path FROM chunk WHERE path = 'src1' OR starts_with(path, 'src1.')")
@@ -662,19 +705,21 @@ def extract_cache_misses(spark, d):
     return counts.join(missing, "content_hash", "left_semi")
 
 
-PAYLOADS = (
-    (0, '{"entities":[{"name":"A","entity_type":"Risk"},{"name":"B","entity_type":"Control","description":"x"}],"relations":[{"source":"A","relation_type":"requires","target":"B"}]}', True),
-    (1, '{"entities":[{"name":"A","entity_type":"Risk"}],"relations":[{"source":"A","relation_type":"requires","target":"C"}]}', False),
-    (2, '{"entities":[],"relations":[]}', True),
-    (3, '{"entities":[{"name":"A","entity_type":"Planet"}],"relations":[]}', False),
-    (4, '{"entities":[{"name":"A","entity_type":"Risk"}],"relations":[{"source":"A","relation_type":"eats","target":"A"}]}', False),
-)
-
-
-@query("validate_extractions", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, _, ok in PAYLOADS) + ") v(id, valid)")
+@query("validate_extractions", f"""
+WITH {RULE_SQL}, n AS (SELECT chunk_id, count(*) AS n FROM ents GROUP BY 1)
+SELECT chunk_id, coalesce(n, 0) < 2 OR order_in_parent % 3 = 0 AS valid FROM chunk LEFT JOIN n USING (chunk_id)
+""")
 def validate_extractions(spark, d):
-    rows = spark.createDataFrame([(i, p) for i, p, _ in PAYLOADS], "id int, payload string")
-    return rows.select("id", extraction.is_valid(extraction.parse_extraction(F.col("payload"))).alias("valid"))
+    """The default extractions of all chunks as JSON; of three chunks one has an unknown end, one an unknown relation, if it has a relation."""
+    c = chunk_rows(table(spark, d, "documents"))
+    e = c.select("chunk_id", "order_in_parent", extraction.rule_extraction(F.col("text")).alias("entities"))
+    kind = F.col("order_in_parent") % 3
+    relations = F.transform(
+        extraction.rule_relations(F.col("entities")),
+        lambda r: F.struct(r["source"].alias("source"), F.when(kind == 2, "eats").otherwise(r["relation_type"]).alias("relation_type"), F.when(kind == 1, "nobody").otherwise(r["target"]).alias("target")),
+    )
+    payload = F.to_json(F.struct("entities", relations.alias("relations")))
+    return e.select("chunk_id", extraction.is_valid(extraction.parse_extraction(payload)).alias("valid"))
 
 
 NORM = "trim(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
