@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
-from heddle.operators import community, evaluation, extraction, graph, ingest, resolution, search, sections, vector_index
+from heddle.operators import community, evaluation, extraction, graph, ingest, resolution, search, sections, text_index, vector_index
 from heddle.operators.components import connected
 from heddle.schemas import BATCH_TEXTS, BATCH_TOKENS, DENSE_CANDIDATES, ENTITY_TYPES, GRAPH_FACTS, LEXICAL_CANDIDATES, RELATION_KEY, RELATION_TYPES, TOP_K
 from heddle.session import materialize, shared_dir
@@ -304,6 +304,24 @@ def lexical_stemmed(spark, d):
     return search.lexeme_statistics(search.stemmed(search.postings(doc_texts(spark, d))))
 
 
+@query("search_chunks")
+def search_chunks(spark, d):
+    """A question against the stored stems of all documents."""
+    index = text_index.write_text_index(doc_texts(spark, d), f"{shared_dir(spark)}/heddle/text-index-{uuid.uuid4().hex}")
+    return text_index.search_chunks(index, QUESTION, LEXICAL_CANDIDATES)
+
+
+#: What SQL can follow of the index: each text's positions without stop words, whatever their stems.
+@query("text_index_positions", f"""
+WITH {WORDS_SQL}, kept AS (SELECT * FROM words WHERE lexeme NOT IN ({", ".join(f"'{w}'" for w in text_index.STOP_WORDS)}))
+SELECT id, count(*) AS n_positions, CAST(sum(pos) AS BIGINT) AS pos_sum, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos) AS INT) AS last_pos FROM kept GROUP BY id
+""")
+def text_index_positions(spark, d):
+    index = text_index.write_text_index(doc_texts(spark, d), f"{shared_dir(spark)}/heddle/text-index-{uuid.uuid4().hex}")
+    p = index.postings().select("id", F.explode("positions").alias("pos"))
+    return p.groupBy("id").agg(F.count("*").alias("n_positions"), F.sum("pos").alias("pos_sum"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
 VECTOR_SQL = f"""
 q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = {QUERY_VECTOR}),
 den AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e::DOUBLE[] FROM q)), 6) AS score FROM embeddings)
