@@ -21,6 +21,7 @@ from heddle.operators import extraction, vector_index
 from heddle.operators.components import connected
 from heddle.schemas import SIMILARITY_THRESHOLD
 from heddle.session import free, materialize
+from heddle.sources.files import exists, rewrite_parts
 
 #: Links of components that one task replays; parts of the edge table by document.
 REPLAY, BUCKETS = 50_000, 64
@@ -149,17 +150,13 @@ class StoredGraph:
     path: str
     buckets: int = BUCKETS
 
-    def _there(self, name: str) -> bool:
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
     def vertices(self) -> DataFrame:
-        if not self._there("vertices"):
+        if not exists(self.spark, f"{self.path}/vertices"):
             return self.spark.createDataFrame([], VERTICES)
         return self.spark.read.schema(VERTICES).parquet(f"{self.path}/vertices")
 
     def edges(self) -> DataFrame:
-        if not self._there("edges"):
+        if not exists(self.spark, f"{self.path}/edges"):
             return self.spark.createDataFrame([], f"{EDGES}, bucket int")
         return self.spark.read.schema(f"{EDGES}, bucket int").parquet(f"{self.path}/edges")
 
@@ -184,15 +181,7 @@ class StoredGraph:
         kept = self.edges().where(F.col("bucket").isin(touched)).join(documents, "document_id", "left_anti").select(*names)
         new = edges.join(documents, "document_id", "left_semi").select(*names)
         rows = materialize(kept.union(new).withColumn("bucket", bucket), "edges")
-        full = {r[0] for r in rows.select("bucket").distinct().collect()}
-        out = rows.repartition("bucket", F.pmod(F.xxhash64("document_id", "chunk_id"), F.lit(8)))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/edges")
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        for b in touched:
-            if b not in full:  # nothing was written that would take the place of the old part
-                place = jvm.Path(f"{self.path}/edges/bucket={b}")
-                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        self.spark.catalog.refreshByPath(f"{self.path}/edges")
+        rewrite_parts(rows, f"{self.path}/edges", "bucket", touched, "chunk_id")
         free(rows, documents)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
-from heddle.operators import community, evaluation, extraction, graph, ingest, resolution, search, sections, text_index, vector_index
+from heddle.operators import community, community_job, evaluation, extraction, graph, ingest, resolution, search, sections, text_index, vector_index, vector_store
 from heddle.operators.components import connected
 from heddle.schemas import BATCH_TEXTS, BATCH_TOKENS, DENSE_CANDIDATES, ENTITY_TYPES, GRAPH_FACTS, LEXICAL_CANDIDATES, RELATION_KEY, RELATION_TYPES, TOP_K
 from heddle.session import materialize, shared_dir
@@ -366,6 +366,19 @@ def vector_index_topk(spark, d):
     return vector_index.search(index, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10, probes=8, exact=True)
 
 
+@query("vector_upsert", """
+SELECT vec_id AS id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN label = 2 THEN -x ELSE x END), 'max') AS largest, CASE WHEN label = 2 THEN 2 ELSE 1 END AS writes FROM embeddings
+""")
+def vector_upsert(spark, d):
+    """All vectors, then those of one label again with the signs changed: the last write of an id stays."""
+    v = vectors(spark, d).select("id", "embedding", F.lit(1).alias("writes"), "label")
+    size = v.select(F.size("embedding")).first()[0]
+    store = vector_store.VectorTable.create(spark, f"{shared_dir(spark)}/heddle/vectors-{uuid.uuid4().hex}", size, 16)
+    store.upsert(v.drop("label"), "writes")
+    store.upsert(v.where("label = 2").select("id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(2).alias("writes")), "writes")
+    return store.rows().select("id", F.array_max("embedding").alias("largest"), F.col("seq").cast("int").alias("writes"))
+
+
 @query("similarity_pairs", f"WITH {BATCH_SQL} SELECT query_id, id, score FROM pairs WHERE label = query_label AND query_id <> id AND score >= 0.3")
 def similarity_pairs(spark, d):
     label = vectors(spark, d).select("id", "label")
@@ -587,7 +600,32 @@ def graph_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("communities")
 def communities(spark, d):
-    return community.community_table(community.detect_communities(graph_weights(spark, d), least_gain=1e-4))
+    return community.community_table(community.detect_communities(graph_weights(spark, d), least_gain=1e-3))
+
+
+def published_communities(spark: SparkSession, d: str) -> community_job.Communities:
+    """Customers and their orders, detected, summarised and published."""
+    orders = table(spark, d, "orders")
+    weights = orders.select(F.concat(F.lit("Asset:"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("Process:"), F.col("o_orderkey").cast("string")).alias("b"), F.lit(1).alias("weight"))
+    edges = star_edges(spark, d).where("relation_type = 'APPLIES_TO'")
+    store = community_job.Communities(spark, f"{shared_dir(spark)}/heddle/communities-{uuid.uuid4().hex}")
+    store.publish(community.detect_communities(weights), edges)
+    return store
+
+
+@query("published_members", """
+SELECT 'Asset:' || o_custkey AS community, 'Asset' AS entity_type, CAST(o_custkey AS VARCHAR) AS name FROM orders GROUP BY o_custkey
+UNION ALL SELECT 'Asset:' || o_custkey, 'Process', CAST(o_orderkey AS VARCHAR) FROM orders
+""")
+def published_members(spark, d):
+    return published_communities(spark, d).members()
+
+
+@query("published_communities", """
+SELECT 'Asset:' || o_custkey AS community, 1 + count(*) AS entity_count, least(o_custkey || ' (Asset)', min(o_orderkey || ' (Process)')) AS title, (1 + 2 * count(*)) || ' entities and relations' AS summary FROM orders GROUP BY o_custkey
+""")
+def published_community_rows(spark, d):
+    return published_communities(spark, d).communities()
 
 
 @query("community_build_summary", """
