@@ -604,26 +604,25 @@ def communities(spark, d):
 
 
 def published_communities(spark: SparkSession, d: str) -> community_job.Communities:
-    """Customers and their orders, detected, summarised and published."""
-    orders = table(spark, d, "orders")
-    weights = orders.select(F.concat(F.lit("Asset:"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("Process:"), F.col("o_orderkey").cast("string")).alias("b"), F.lit(1).alias("weight"))
-    edges = star_edges(spark, d).where("relation_type = 'APPLIES_TO'")
+    """Customers and their nations, detected, summarised and published."""
+    edges = star_edges(spark, d).where("relation_type = 'PART_OF' and source_type = 'Asset'")
+    w = graph.edge_weights(edges).select(F.concat_ws(":", "a_type", "a_name").alias("a"), F.concat_ws(":", "b_type", "b_name").alias("b"), "weight")
     store = community_job.Communities(spark, f"{shared_dir(spark)}/heddle/communities-{uuid.uuid4().hex}")
-    store.publish(community.detect_communities(weights), edges)
+    store.publish(community.detect_communities(w), edges)
     return store
 
 
-@query("published_members", """
-SELECT 'Asset:' || o_custkey AS community, 'Asset' AS entity_type, CAST(o_custkey AS VARCHAR) AS name FROM orders GROUP BY o_custkey
-UNION ALL SELECT 'Asset:' || o_custkey, 'Process', CAST(o_orderkey AS VARCHAR) FROM orders
+NATION_SQL = "own AS (SELECT n_nationkey, n_name, min('Asset:' || c_custkey) AS community, count(*) AS n, min(c_custkey || ' (Asset)') AS title FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)"
+
+
+@query("published_members", f"""
+WITH {NATION_SQL} SELECT community, 'Clause' AS entity_type, n_name AS name FROM own UNION ALL SELECT community, 'Asset', CAST(c_custkey AS VARCHAR) FROM customer JOIN own ON n_nationkey = c_nationkey
 """)
 def published_members(spark, d):
     return published_communities(spark, d).members()
 
 
-@query("published_communities", """
-SELECT 'Asset:' || o_custkey AS community, 1 + count(*) AS entity_count, least(o_custkey || ' (Asset)', min(o_orderkey || ' (Process)')) AS title, (1 + 2 * count(*)) || ' entities and relations' AS summary FROM orders GROUP BY o_custkey
-""")
+@query("published_communities", f"WITH {NATION_SQL} SELECT community, 1 + n AS entity_count, title, (1 + 2 * n) || ' entities and relations' AS summary FROM own")
 def published_community_rows(spark, d):
     return published_communities(spark, d).communities()
 
