@@ -73,11 +73,15 @@ def relations_by_type(edges: DataFrame, relation_type: str, key: tuple[str, str]
     return found.where(at_source | ((F.col("target_type") == kind) & (F.col("target_name") == name)))
 
 
-def expand_hops(edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS, fetch: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def expand_hops(
+    edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS, fetch: Callable[[DataFrame, DataFrame], DataFrame] | None = None, enough: int | None = None
+) -> DataFrame:
     """Relations within ``max_hops`` of the seeds, with ``hop``; breadth first, one join per hop.
 
     A frontier holds newly seen vertices only; the walk ends early when there
     are none.  Relations are the same by ``RELATION_KEY``, the least hop counts.
+    With ``enough`` it also ends after the hop that brings the relations to that
+    number, so a caller that takes the first ones by hop reads no hop in vain.
     """
     seen = materialize(seeds.select("entity_type", "name").distinct(), "seen")
     frontier, found = seen, None
@@ -88,6 +92,8 @@ def expand_hops(edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS, fe
         step = (fetch or (lambda e, k: relations_touching(e, k, small)))(edges, frontier)
         step = materialize(step.withColumn("hop", F.lit(hop)), "hop")
         found = step if found is None else found.unionByName(step)
+        if enough is not None and hop < max_hops and found.select(*RELATION_KEY).distinct().limit(enough).count() >= enough:
+            break
         if hop < max_hops:
             frontier = materialize(endpoints(step).join(seen, ["entity_type", "name"], "left_anti"), "frontier")
             seen = seen.unionByName(frontier)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
-from heddle.operators import community, community_job, evaluation, extraction, graph, ingest, resolution, search, sections, text_index, vector_index, vector_store
+from heddle.operators import answer, community, community_job, evaluation, extraction, graph, ingest, resolution, search, sections, text_index, vector_index, vector_store
 from heddle.operators.components import connected
 from heddle.schemas import BATCH_TEXTS, BATCH_TOKENS, DENSE_CANDIDATES, ENTITY_TYPES, GRAPH_FACTS, LEXICAL_CANDIDATES, RELATION_KEY, RELATION_TYPES, TOP_K
 from heddle.session import materialize, shared_dir
@@ -201,9 +201,10 @@ def heading_tree(spark, d):
     return sections.heading_tree(outline(spark, d)).select("doc_id", "pos", "level", "parent_pos")
 
 
+CLAUSE_SQL = """coalesce(nullif(regexp_extract(trim({0}), '(?i)^(Article\\s+\\d+[a-z]?)\\b', 1), ''), nullif(regexp_extract(trim({0}), '(?i)^(Annex\\s+[A-Z](?:\\.\\d+)*)\\b', 1), ''),
+  nullif(regexp_extract(trim({0}), '^([A-Z]\\.\\d+(?:\\.\\d+)*)\\b', 1), ''), nullif(regexp_extract(trim({0}), '^(\\d+(?:\\.\\d+)+)\\b', 1), ''))"""
 SECTION_SQL = f"""{OUTLINE_SQL},
-l AS MATERIALIZED (SELECT *, coalesce(nullif(regexp_extract(trim(title), '(?i)^(Article\\s+\\d+[a-z]?)\\b', 1), ''), nullif(regexp_extract(trim(title), '(?i)^(Annex\\s+[A-Z](?:\\.\\d+)*)\\b', 1), ''),
-  nullif(regexp_extract(trim(title), '^([A-Z]\\.\\d+(?:\\.\\d+)*)\\b', 1), ''), nullif(regexp_extract(trim(title), '^(\\d+(?:\\.\\d+)+)\\b', 1), '')) AS clause,
+l AS MATERIALIZED (SELECT *, {CLAUSE_SQL.format('title')} AS clause,
   row_number() OVER (PARTITION BY doc_id, parent ORDER BY pos) - 1 AS place FROM p),
 n AS MATERIALIZED (SELECT *, coalesce(nullif(lower(trim(regexp_replace(trim(coalesce(clause, title)), '[^a-zA-Z0-9_]+', '_', 'g'), '_')), ''), 'section') AS label FROM l),
 w AS (SELECT doc_id, pos, label AS path, parent AS above, CAST(NULL AS INT) AS found FROM n WHERE has_text
@@ -525,17 +526,18 @@ def what_references(spark, d):
     return graph.relations_by_type(star_edges(spark, d), "defined_in", ("Definition", "Brand#11")).select("source_type", "source_name", "relation_type")
 
 
-EXPAND_SQL = f"""{SEED_SQL},
+HOPS_SQL = f"""
 h1 AS (SELECT * FROM edges WHERE (source_type, source_name) IN (SELECT t, n FROM seed) OR (target_type, target_name) IN (SELECT t, n FROM seed)),
 f1 AS ((SELECT source_type AS t, source_name AS n FROM h1 UNION SELECT target_type, target_name FROM h1) EXCEPT SELECT t, n FROM seed),
 h2 AS (SELECT * FROM edges WHERE (source_type, source_name) IN (SELECT t, n FROM f1) OR (target_type, target_name) IN (SELECT t, n FROM f1)),
 expanded AS (SELECT {KEY_SQL}, CAST(min(hop) AS INT) AS hop, min(document_id) AS document_id FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY {KEY_SQL})
 """
+EXPAND_SQL = f"{SEED_SQL}, {HOPS_SQL}"
 
 
-def expanded(spark: SparkSession, d: str) -> DataFrame:
-    edges = star_edges(spark, d)
-    return graph.expand_hops(edges, seeds(spark, d, edges))
+def expanded(spark: SparkSession, d: str, enough: int | None = None) -> DataFrame:
+    edges = materialize(star_edges(spark, d), "edges")  # each hop reads it
+    return graph.expand_hops(edges, seeds(spark, d, edges), enough=enough)
 
 
 @query("expand_2hop", f"WITH {EXPAND_SQL} SELECT * FROM expanded")
@@ -548,7 +550,7 @@ FACT_SQL = f"{EXPAND_SQL}, facts AS (SELECT * FROM expanded ORDER BY hop, {KEY_S
 
 @query("graph_facts", f"WITH {FACT_SQL} SELECT hop, '[' || chunk_id || '] ' || source_type || ':''' || source_name || ''' --' || relation_type || '--> ' || target_type || ':''' || target_name || '''' AS fact FROM facts")
 def graph_facts(spark, d):
-    return graph.fact_lines(graph.capped_facts(expanded(spark, d))).select("hop", "fact")
+    return graph.fact_lines(graph.capped_facts(expanded(spark, d, GRAPH_FACTS))).select("hop", "fact")
 
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -565,7 +567,7 @@ SELECT CAST(chunk_id AS BIGINT) AS chunk_id, source || '_' || doc_id || '.txt' A
 """)
 def citations(spark, d):
     cited = spark.createDataFrame([(c, i) for i, c in enumerate(SEED_CHUNKS)], "chunk_id long, rank int")
-    return graph.citations(cited, graph.capped_facts(expanded(spark, d)), document_chunks(spark, d)).drop("clause_number")
+    return graph.citations(cited, graph.capped_facts(expanded(spark, d, GRAPH_FACTS)), document_chunks(spark, d)).drop("clause_number")
 
 
 WEIGHT_SQL = f"""{STAR_SQL},
@@ -945,12 +947,55 @@ def eval_regressions(spark, d):
     return evaluation.regressions(run(0), run(1), -1_000_000.0).select("question", F.round("change", 4).alias("change"))
 
 
+ASKED_SQL = f"""{RERANK_SQL}, {STAR_SQL},
+seed AS (SELECT source_type AS t, source_name AS n FROM edges WHERE chunk_id IN (SELECT id FROM best) UNION SELECT target_type, target_name FROM edges WHERE chunk_id IN (SELECT id FROM best)),
+{HOPS_SQL},
+facts AS (SELECT *, row_number() OVER (ORDER BY hop, {KEY_SQL}) - 1 AS place FROM expanded ORDER BY hop, {KEY_SQL} LIMIT {GRAPH_FACTS}),
+ch AS (SELECT doc_id AS chunk_id, source || '_' || doc_id || '.txt' AS filename, {CLAUSE_SQL.format('text')} AS clause_number, source AS title, source || '.d' || doc_id AS path, text FROM documents),
+wanted AS (SELECT id AS chunk_id, -1 AS place, rank FROM best UNION ALL SELECT chunk_id, min(place), NULL FROM facts WHERE chunk_id NOT IN (SELECT id FROM best) GROUP BY chunk_id),
+cit AS (SELECT CAST(row_number() OVER (ORDER BY place, rank, chunk_id) AS INT) AS ordinal, CAST(chunk_id AS BIGINT) AS chunk_id, filename, clause_number, path, CAST(rank AS INT) AS rank FROM wanted JOIN ch USING (chunk_id)),
+shown AS (SELECT CAST(place AS INT) AS place, '[' || coalesce(clause_number, CAST(chunk_id AS VARCHAR)) || '] ' || source_type || ':''' || source_name || ''' --' || relation_type || '--> ' || target_type || ':''' || target_name || '''' AS fact
+  FROM facts JOIN cit USING (chunk_id)),
+top AS (SELECT best.rank, '[' || (best.rank + 1) || '] (' || coalesce(clause_number, title) || ') ' || ch.text AS excerpt FROM best JOIN ch ON ch.chunk_id = best.id)
+"""
+
+
+def answered(spark: SparkSession, d: str) -> answer.Answered:
+    """The question end to end over documents as chunks and the whole derived graph."""
+    docs = document_chunks(spark, d).drop("clause_number").join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("title")), "chunk_id")
+    chunks = docs.withColumn("clause_number", X.clause_number(F.col("text")))
+    edges = materialize(star_edges(spark, d), "edges")
+    return answer.answer_question(QUESTION, [dense_topk(spark, d), lexical_topk(spark, d)], chunks, edges, search.overlap_score(TERMS))
+
+
+@query("question_to_answer", f"""
+WITH {ASKED_SQL}, prompt AS (SELECT 'Excerpts:' || chr(10) || chr(10) || (SELECT string_agg(excerpt, chr(10) || chr(10) ORDER BY rank) FROM top)
+|| coalesce(chr(10) || chr(10) || 'Graph-derived facts:' || chr(10) || chr(10) || (SELECT string_agg(fact, chr(10) ORDER BY place) FROM shown), '') || chr(10) || chr(10) || 'Question: {QUESTION}' AS prompt)
+SELECT '{QUESTION}' AS question, sha256(prompt) AS prompt_sha256,
+(SELECT array_to_string(string_split(split_part(substr(excerpt, 5), chr(10) || chr(10), 1), ' ')[:1024], ' ') FROM top WHERE rank = 0) AS answer,
+(SELECT count(*) FROM shown) AS n_facts FROM prompt
+""")
+def question_to_answer(spark, d):
+    found = answered(spark, d)
+    return found.answer.select("question", X.sha256_hex(F.col("prompt")).alias("prompt_sha256"), "answer", F.lit(found.facts.count()).cast("long").alias("n_facts"))
+
+
+@query("answer_citations", f"WITH {ASKED_SQL} SELECT * FROM cit")
+def answer_citations(spark, d):
+    return answered(spark, d).citations
+
+
+@query("answer_facts", f"WITH {ASKED_SQL} SELECT place, fact FROM shown")
+def answer_facts(spark, d):
+    return answered(spark, d).facts.select("place", "fact")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """A question end to end: hybrid search, top documents, their entities, two hops, capped facts with labels."""
     top = search.rerank(candidates(spark, d), search.overlap_score(TERMS), TOP_K)
-    edges = star_edges(spark, d)
+    edges = materialize(star_edges(spark, d), "edges")
     found = graph.entities_for_chunks(edges.where(F.col("relation_type").isin("APPLIES_TO", "REQUIRES")), top.select(F.col("id").alias("chunk_id")))
-    facts = graph.fact_lines(graph.capped_facts(graph.expand_hops(edges, found)))
+    facts = graph.fact_lines(graph.capped_facts(graph.expand_hops(edges, found, enough=GRAPH_FACTS)))
     return facts.select("hop", "fact", "source_type", "source_name", "relation_type", "target_type", "target_name", "chunk_id", "document_id")
 
 
