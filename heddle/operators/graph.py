@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from heddle.functions import text as X
@@ -19,13 +19,18 @@ from heddle.session import materialize
 BROADCAST_KEYS = 200_000
 
 
-def endpoints(edges: DataFrame) -> DataFrame:
-    """The distinct vertices of edges, from one pass over them."""
+def ends(edges: DataFrame) -> DataFrame:
+    """Both ends of each edge as rows ``(entity_type, name)``, from one pass over them."""
     both = F.array(
         F.struct(F.col("source_type").alias("entity_type"), F.col("source_name").alias("name")),
         F.struct(F.col("target_type").alias("entity_type"), F.col("target_name").alias("name")),
     )
-    return edges.select(F.explode(both).alias("v")).select("v.*").distinct()
+    return edges.select(F.explode(both).alias("v")).select("v.*")
+
+
+def endpoints(edges: DataFrame) -> DataFrame:
+    """The distinct vertices of edges."""
+    return ends(edges).distinct()
 
 
 def fetch_entities(vertices: DataFrame) -> DataFrame:
@@ -140,6 +145,37 @@ def upsert_entities(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(first.join(existing, ["entity_type", "name"], "left_anti").select(existing.columns))
 
 
+class UniquenessViolated(ValueError):
+    """Vertices that the graph's constraints forbid."""
+
+
+def violations(vertices: DataFrame) -> DataFrame:
+    """``(entity_type, name, n)`` of vertices that break a constraint: a type and name that come more than once, an unknown type, no name."""
+    counted = vertices.groupBy("entity_type", "name").agg(F.count("*").alias("n"))
+    return counted.where((F.col("n") > 1) | ~_valid_key())
+
+
+def _valid_key() -> Column:
+    return F.coalesce(F.col("entity_type").isin(*ENTITY_TYPES) & F.col("name").isNotNull(), F.lit(False))
+
+
+def require_unique(vertices: DataFrame, examples: int = 5) -> int:
+    """How many vertices ``(entity_type, name)`` there are; raises :class:`UniquenessViolated` if any breaks a constraint.
+
+    One aggregation by key, whose metrics are observed as it runs; examples are
+    looked up only if it fails.
+    """
+    seen = Observation()
+    counted = vertices.groupBy("entity_type", "name").agg(F.count("*").alias("n"))
+    watched = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(~_valid_key()).alias("invalid"))
+    watched.write.format("noop").mode("overwrite").save()
+    found = seen.get
+    if found["repeated"] or found["invalid"]:
+        few = [tuple(r) for r in violations(vertices).orderBy("entity_type", "name").limit(examples).collect()]
+        raise UniquenessViolated(f"{found['repeated']} repeated and {found['invalid']} invalid vertices, such as {few}")
+    return found["n"]
+
+
 def load_edges(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """Mentions ``(source, relation_type, target, chunk_id, document_id)`` as edges between resolved names.
 

@@ -13,12 +13,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import text as X
 from heddle.operators import extraction, vector_index
 from heddle.operators.components import connected
+from heddle.operators.graph import endpoints, load_edges, require_unique
 from heddle.schemas import SIMILARITY_THRESHOLD
 from heddle.session import free, materialize
 from heddle.sources.files import exists, rewrite_parts
@@ -150,10 +151,16 @@ class StoredGraph:
     path: str
     buckets: int = BUCKETS
 
-    def vertices(self) -> DataFrame:
+    def _bucket(self, *key: str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+
+    def _vertices(self) -> DataFrame:
         if not exists(self.spark, f"{self.path}/vertices"):
-            return self.spark.createDataFrame([], VERTICES)
-        return self.spark.read.schema(VERTICES).parquet(f"{self.path}/vertices")
+            return self.spark.createDataFrame([], f"{VERTICES}, bucket int")
+        return self.spark.read.schema(f"{VERTICES}, bucket int").parquet(f"{self.path}/vertices")
+
+    def vertices(self) -> DataFrame:
+        return self._vertices().drop("bucket")
 
     def edges(self) -> DataFrame:
         if not exists(self.spark, f"{self.path}/edges"):
@@ -164,9 +171,44 @@ class StoredGraph:
         """Adds vertices whose type and name are new; a vertex keeps its first embedding."""
         new = vertices.dropDuplicates(["entity_type", "name"]).join(self.vertices(), ["entity_type", "name"], "left_anti")
         new = materialize(new.select("entity_type", "name", F.col("embedding").cast("array<double>").alias("embedding")), "new-vertices")
-        new.write.mode("append").parquet(f"{self.path}/vertices")
+        self._append(new)
         free(new)
 
+    def _append(self, vertices: DataFrame) -> None:
+        placed = vertices.select("entity_type", "name", F.col("embedding").cast("array<double>").alias("embedding"), self._bucket("entity_type", "name").alias("bucket"))
+        placed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/vertices")
+
+    def create(self, vertices: DataFrame) -> None:
+        """Adds vertices that must be new: fails, and adds none, if one is there already, comes twice, or has no name or no known type."""
+        staged = materialize(vertices.select("entity_type", "name", "embedding"), "new-vertices")
+        keys = ["entity_type", "name"]
+        try:
+            require_unique(staged.select(*keys).union(self.vertices().select(*keys).join(staged.select(*keys), keys, "left_semi")))
+            self._append(staged)
+        finally:
+            free(staged)
+
+    def drop_unused(self, vertices: DataFrame) -> None:
+        """Drops those of ``vertices`` that no edge touches; only the parts that hold one of them are written again.
+
+        Edges are read once, for their ends alone, against the asked vertices.
+        """
+        keys = ["entity_type", "name"]
+        asked = vertices.select(*keys).distinct()
+        gone = materialize(asked.join(endpoints(self.edges()), keys, "left_anti").withColumn("bucket", self._bucket(*keys)), "unused")
+        touched = sorted(r[0] for r in gone.select("bucket").distinct().collect())  # at most as many as parts
+        if touched:
+            kept = materialize(self._vertices().where(F.col("bucket").isin(touched)).join(gone.select(*keys), keys, "left_anti"), "vertices")
+            rewrite_parts(kept, f"{self.path}/vertices", "bucket", touched, "name")
+            free(kept)
+        free(gone)
+
+    def edges_of(self, documents: DataFrame) -> DataFrame:
+        """Edges of some documents, from their parts alone."""
+        asked = documents.select("document_id").distinct()
+        touched = [r[0] for r in asked.select(self._bucket("document_id")).distinct().collect()]  # at most as many as parts
+        return self.edges().where(F.col("bucket").isin(touched)).join(asked, "document_id", "left_semi")
+
     def replace(self, documents: DataFrame, edges: DataFrame) -> None:
         """Puts ``edges`` in the place of all edges of ``documents``; edges of others aren't kept.
 
@@ -174,7 +216,7 @@ class StoredGraph:
         the same call twice leaves the same table, and a call that was cut off
         is repaired by repeating it.
         """
-        bucket = F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
+        bucket = self._bucket("document_id")
         documents = materialize(documents.select("document_id").distinct(), "documents")
         touched = sorted(r[0] for r in documents.select(bucket.alias("b")).distinct().collect())  # at most as many as parts
         names = [c.split()[0] for c in EDGES.split(", ")]
@@ -201,8 +243,6 @@ def resolve_and_load(
     mentions are parallel edges.  Loading a batch again replaces its documents'
     edges and adds no vertex.  All entities become vertices, with relations or not.
     """
-    from heddle.operators.graph import load_edges
-
     candidates = materialize(candidates.select("pos", "name", "entity_type"), "candidates")
     resolved = resolve_entities(candidates, graph.vertices(), embed, threshold)
     graph.upsert(resolved.where("is_new and pos = leader_pos").select("entity_type", F.col("canonical_name").alias("name"), "embedding"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from heddle.operators.components import connected
 from heddle.schemas import BATCH_TEXTS, BATCH_TOKENS, DENSE_CANDIDATES, ENTITY_TYPES, GRAPH_FACTS, LEXICAL_CANDIDATES, RELATION_KEY, RELATION_TYPES, TOP_K
 from heddle.session import materialize, shared_dir
 from heddle.sources.tables import STAR_SQL, chunk_rows, star_edges, table
+from heddle.streaming import status, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +91,38 @@ def job_latest_status(spark, d):
     return ingest.latest_status(job_log(spark, d)).select("document_id", "status", F.unix_seconds("at").alias("at_seconds"), "n_jobs")
 
 
+STATUS_SQL = """
+told AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'graph' ELSE 'ingestion' END AS track,
+  CASE WHEN event_id % 3 = 0 THEN CASE event_type WHEN 'signup' THEN 'extracting' WHEN 'view' THEN 'extracted' WHEN 'click' THEN 'resolving' WHEN 'purchase' THEN 'ready' ELSE 'failed' END
+  ELSE CASE event_type WHEN 'signup' THEN 'parsing' WHEN 'view' THEN 'chunking' WHEN 'click' THEN 'embedding' WHEN 'purchase' THEN 'ready' ELSE CASE WHEN event_id % 20 = 1 THEN 'failed' ELSE 'parsing' END END END AS status,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+chain(track, was, now) AS (VALUES ('ingestion', 'pending', 'parsing'), ('ingestion', 'parsing', 'chunking'), ('ingestion', 'chunking', 'embedding'), ('ingestion', 'embedding', 'ready'),
+  ('graph', 'extracting', 'extracted'), ('graph', 'extracted', 'resolving'), ('graph', 'resolving', 'ready')),
+step AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS event_id, 'pending' AS i, 'not_started' AS g, '' AS verdict FROM (SELECT DISTINCT user_id FROM told)
+  UNION ALL SELECT user_id, n, event_id, CASE WHEN verdict = 'accepted' AND track = 'ingestion' THEN status ELSE i END, CASE WHEN verdict = 'accepted' AND track = 'graph' THEN status ELSE g END, verdict
+  FROM (SELECT t.*, s.i, s.g, CASE WHEN t.track = 'graph' AND t.status = 'extracting' THEN CASE WHEN s.i = 'ready' THEN 'accepted' ELSE 'not ready' END
+    WHEN t.status = 'failed' AND t.track = 'ingestion' AND s.i NOT IN ('ready', 'failed') THEN 'accepted' WHEN t.status = 'failed' AND t.track = 'graph' AND s.g IN ('extracting', 'extracted', 'resolving') THEN 'accepted'
+    WHEN EXISTS (SELECT 1 FROM chain c WHERE c.track = t.track AND c.now = t.status AND c.was = CASE WHEN t.track = 'graph' THEN s.g ELSE s.i END) THEN 'accepted' ELSE 'illegal' END AS verdict
+    FROM step s JOIN told t ON t.user_id = s.user_id AND t.n = s.n + 1))
+"""
+
+
+@query("document_states", f"WITH RECURSIVE {STATUS_SQL} SELECT event_id, CAST(user_id AS VARCHAR) AS document_id, verdict, i AS status, g AS graph_status FROM step WHERE n > 0")
+def document_states(spark, d):
+    """The event table as news of documents on both tracks, through the state machine as a stream."""
+    c = F.col
+    of = lambda *names: F.element_at(F.create_map(*(F.lit(x) for kind, to in zip(("signup", "view", "click", "purchase"), names, strict=True) for x in (kind, to))), c("event_type"))
+    late = F.when(c("event_id") % 20 == 1, "failed").otherwise("parsing")
+    graphs = c("event_id") % 3 == 0
+    told = F.when(graphs, F.coalesce(of("extracting", "extracted", "resolving", "ready"), F.lit("failed"))).otherwise(F.coalesce(of("parsing", "chunking", "embedding", "ready"), late))
+    base = f"{shared_dir(spark)}/heddle/states-{uuid.uuid4().hex}"
+    news = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(
+        c("event_id").cast("string").alias("event_id"), c("user_id").cast("string").alias("document_id"), F.when(graphs, "graph").otherwise("ingestion").alias("track"), told.alias("status"), c("ts").cast("timestamp").alias("at")
+    )
+    status.start(news, f"{base}/verdicts", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(status.VERDICTS).parquet(f"{base}/verdicts").select(c("event_id").cast("long").alias("event_id"), "document_id", "verdict", "status", "graph_status")
+
+
 @query("job_durations", f"""
 WITH {LOG_SQL} SELECT job_id, document_id, status, CAST(floor(epoch(lead(moment) OVER w)) AS BIGINT) - CAST(floor(epoch(moment)) AS BIGINT) AS seconds
 FROM log WINDOW w AS (PARTITION BY document_id ORDER BY moment, job_id)
@@ -719,6 +753,17 @@ def drop_documents(spark, d):
     return left.groupBy("relation_type").agg(F.count("*").alias("n_edges"))
 
 
+@query("constraint_violations", """
+WITH v AS (SELECT 'Asset' AS entity_type, c_mktsegment AS name FROM customer UNION ALL SELECT 'Control', p_name FROM part UNION ALL SELECT 'Role', s_name FROM supplier UNION ALL SELECT 'Event', event_type FROM events)
+SELECT entity_type, name, count(*) AS n FROM v GROUP BY 1, 2 HAVING count(*) > 1 OR entity_type = 'Event'
+""")
+def constraint_violations(spark, d):
+    """Names that would break the graph's constraints if each row became a vertex."""
+    named = [("customer", "Asset", "c_mktsegment"), ("part", "Control", "p_name"), ("supplier", "Role", "s_name"), ("events", "Event", "event_type")]
+    rows = [table(spark, d, t).select(F.lit(kind).alias("entity_type"), F.col(c).alias("name")) for t, kind, c in named]
+    return graph.violations(reduce(DataFrame.union, rows))
+
+
 @query("bridge_edges", """
 WITH b AS (SELECT s_nationkey AS a, c_nationkey AS b, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2)
 SELECT CAST(a AS INT) AS shard_a, CAST(b AS INT) AS shard_b, n FROM b
@@ -906,6 +951,57 @@ def resolved_vertices(spark, d):
     return loaded_graph(spark, d).vertices().select("entity_type", "name")
 
 
+UPKEPT_SQL = LOAD_SQL[: LOAD_SQL.index("v0 AS")].rstrip().rstrip(",").replace("FROM documents", "FROM final_docs")
+
+
+def document_changes(spark: SparkSession, d: str, landing: str, step: int) -> None:
+    """Lands the changes number ``step``: all documents, then those of one language deleted, then one source cut to first lines, and late news of the deleted."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source", "lang", "text")
+    change = lambda rows, seq, deleted, text="text": rows.select("document_id", F.lit(seq).cast("long").alias("seq"), F.lit(deleted).alias("deleted"), "source", "lang", F.expr(text).alias("text"))
+    if step == 1:
+        rows = change(docs, 10, False).unionByName(change(docs.where("lang = 'en'"), 5, False, "'Older Words'"))
+    elif step == 2:
+        rows = change(docs.where("lang = 'de'"), 20, True, "cast(null as string)")
+    else:
+        rows = change(docs.where("lang <> 'de' and source = 'src2'"), 30, False, "substring_index(text, '\\n', 1)").unionByName(change(docs.where("lang = 'de'"), 15, False))
+    rows.write.mode("append").parquet(landing)
+
+
+def upkept_graph(spark: SparkSession, d: str) -> resolution.StoredGraph:
+    """The documents' graph, kept by a stream over three lots of changes."""
+    base = f"{shared_dir(spark)}/heddle/upkeep-{uuid.uuid4().hex}"
+    store = resolution.StoredGraph(spark, f"{base}/graph", 16)
+
+    def extract(docs: DataFrame) -> DataFrame:
+        chunks = chunk_rows(docs.withColumnRenamed("document_id", "doc_id"))
+        each = chunks.select("chunk_id", F.col("doc_id").alias("document_id"), extraction.rule_extraction(F.col("text")).alias("es"))
+        kind = F.map_from_entries(F.transform("es", lambda e: F.struct(e["name"], e["entity_type"])))
+        r = each.select("chunk_id", "document_id", kind.alias("kind"), F.explode(extraction.rule_relations(F.col("es"))).alias("r"))
+        at = lambda end: F.element_at("kind", F.col(f"r.{end}"))
+        return r.select(
+            at("source").alias("source_type"), F.col("r.source").alias("source_name"), F.upper("r.relation_type").alias("relation_type"),
+            at("target").alias("target_type"), F.col("r.target").alias("target_name"), "chunk_id", "document_id",
+        )
+
+    for step in (1, 2, 3):
+        document_changes(spark, d, f"{base}/landing", step)
+        upkeep.start(spark, f"{base}/landing", store, f"{base}/checkpoint", upkeep.plain_load(extract)).awaitTermination()
+    return store
+
+
+@query("graph_upkeep", f"""
+WITH RECURSIVE final_docs AS (SELECT doc_id, source, lang, CASE WHEN source = 'src2' THEN split_part(text, chr(10), 1) ELSE text END AS text FROM documents WHERE lang <> 'de'),
+{UPKEPT_SQL.removeprefix("WITH RECURSIVE ")},
+e AS (SELECT s.entity_type AS st, source AS sn, t.entity_type AS tt, target AS tn FROM mention m JOIN cand s ON s.chunk_id = m.chunk_id AND s.name = m.source JOIN cand t ON t.chunk_id = m.chunk_id AND t.name = m.target)
+SELECT entity_type, name, count(*) AS n_ends FROM (SELECT st AS entity_type, sn AS name FROM e UNION ALL SELECT tt, tn FROM e) GROUP BY ALL
+""")
+def graph_upkeep(spark, d):
+    """The vertices that are left, and how many ends of edges each has."""
+    store = upkept_graph(spark, d)
+    counted = graph.ends(store.edges()).groupBy("entity_type", "name").agg(F.count("*").alias("n_ends"))
+    return store.vertices().select("entity_type", "name").join(counted, ["entity_type", "name"], "left").select("entity_type", "name", F.coalesce("n_ends", F.lit(0)).alias("n_ends"))
+
+
 @query("normalize_names", f"WITH n AS (SELECT p_name AS name FROM part UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier) SELECT name, {NORM.format('name')} AS key FROM n")
 def normalize_names(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).union(table(spark, d, "customer").select("c_name")).union(table(spark, d, "supplier").select("s_name")).distinct()
