@@ -59,11 +59,17 @@ def entities_for_chunks(edges: DataFrame, chunk_ids: DataFrame) -> DataFrame:
 def relations_touching(edges: DataFrame, keys: DataFrame, small: bool = False) -> DataFrame:
     """Edges with an end among ``keys`` (entity_type, name), each once, in their own direction.
 
-    Two semi joins, one for each end, instead of a join on a disjunction.
+    ``small`` keys are broadcast and the edges read once, against both ends.
+    Otherwise there are two semi joins, one for each end, instead of a join on
+    a disjunction.
     """
-    hint = F.broadcast if small else (lambda df: df)
-    source = hint(keys.select(F.col("entity_type").alias("source_type"), F.col("name").alias("source_name")))
-    target = hint(keys.select(F.col("entity_type").alias("target_type"), F.col("name").alias("target_name")))
+    keys = keys.select("entity_type", "name").distinct()
+    source = keys.select(F.col("entity_type").alias("source_type"), F.col("name").alias("source_name"))
+    target = keys.select(F.col("entity_type").alias("target_type"), F.col("name").alias("target_name"))
+    if small:
+        marked = edges.join(F.broadcast(source.withColumn("_from", F.lit(True))), ["source_type", "source_name"], "left")
+        marked = marked.join(F.broadcast(target.withColumn("_into", F.lit(True))), ["target_type", "target_name"], "left")
+        return marked.where("_from or _into").select(*edges.columns)
     out = edges.join(source, ["source_type", "source_name"], "left_semi")
     into = edges.join(target, ["target_type", "target_name"], "left_semi").join(source, ["source_type", "source_name"], "left_anti")
     return out.unionByName(into)
