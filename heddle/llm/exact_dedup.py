@@ -73,10 +73,14 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"))
-    return rows.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    An id may stand for several texts: a row stays by its id and its text's
+    digest together.  Rows that repeat both stay together.
+    """
+    stay = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("digest")).distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256).alias("own"))
+    return rows.join(stay, (F.col("own") == F.col("digest")) & F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,12 @@ def test_exact_on_odd_rows(odd, empty, texts):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_when_an_id_has_several_texts(spark):
+    rows = [(1, "x"), (7, "x"), (7, "y"), (9, "y"), (None, "z"), (None, "y")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, digest string")
+    assert sorted((str(r["doc_id"]), r["text"], r["digest"]) for r in exact_dedup.exact_dedup(docs).collect()) == [("7", "x", "k"), ("9", "y", "k"), ("None", "z", "k")]
+
+
 def test_exact_with_one_salt_and_many(odd):
     one, many = (sorted(map(str, exact_dedup.exact_groups(odd, s).collect())) for s in (1, 7))
     assert one == many
