@@ -137,7 +137,7 @@ def test_packing_of_groups():
 
 
 def normal(line):
-    return regex.sub(r"[^\p{L}]+", " ", line.lower()).strip()
+    return regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip()
 
 
 def levenshtein(a, b):
@@ -225,6 +225,13 @@ def test_lines_of_a_large_bucket(spark):
     assert got == {i: len(want[i]) for i in range(90)}
 
 
+def test_lines_that_differ_in_digits_or_marks_are_different(spark):
+    texts = ["Invoice 2021 total 5531 euro", "Invoice 1999 total 12 euro", "कि मी", "की मु", "invoice 2021, total 5531 EURO"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_lines"] - r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
 def test_lines_of_no_rows(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
