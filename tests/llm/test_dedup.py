@@ -270,3 +270,18 @@ def test_lines_recall_against_edit_similarity(spark, small):
     group = {r["i"]: r["component"] for r in keys.join(line_dedup.line_groups(docs)[1], ["d1", "d2"]).collect()}
     found = sum(a in group and group[a] == group.get(b) for a, b in pairs)
     assert len(pairs) > 10 and found >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("n", [10, 120])
+def test_pairs_of_lines_in_one_large_bucket(spark, n):
+    """Lines that share 30 words and differ in a long one: each is one edit from its twin and far from all others."""
+    rng = np.random.default_rng(3)
+    fixed = " ".join("".join(map(chr, rng.integers(97, 123, 4))) for _ in range(30))
+    rows = []
+    for i in range(n):
+        long = "".join(map(chr, rng.integers(97, 123, 60)))
+        rows += [(2 * i, f"{fixed} {long}a"), (2 * i + 1, f"{fixed} {long}b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = lines_brute(docs)
+    got = {r["doc_id"]: r["n_lines"] - r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: len(want[i]) for i in range(2 * n)} and sum(got.values()) == n
