@@ -4,11 +4,15 @@ Each Python worker keeps one in-memory DuckDB database with the merge table.
 The pre-tokens that it hasn't met yet become rows (word, position, symbol); a
 recursive query joins neighbouring symbols with the merge table, contracts each
 word's leftmost pair of the least rank, and goes on with the words that changed,
-until none does.  Long words are first cut where no token can cross.  What is
-still long takes its rounds in a table instead of a recursive query, which would
-hold all of them; there a pair's later repetitions that don't overlap go with it,
-as they would come next anyway.  Decoding joins a document's ids with their bytes
-and aggregates them in order.
+until none does.  A long word is encoded in windows that overlap by half.  A row
+of ids is the encoding of its bytes if each two neighbours are the encoding of
+theirs, so two windows may be joined at any place where both have a boundary and
+the two ids there encode to themselves.  If some windows can't be joined, all are
+made eight times as long.  Windows of more than ``LONG`` bytes take their rounds
+in a table instead of a recursive query, which would hold all of them; there a
+pair's later repetitions that don't overlap go with it, as they would come next
+anyway.  Decoding joins a document's ids with their bytes and aggregates them in
+order.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Cutter, Memory, chunk_pattern, table, tokenizer_path
+from .common import Memory, chunk_pattern, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, and as many pre-tokens, that a worker remembers; letters of pre-tokens that one recursive query gets.
 REMEMBERED, QUERY_BYTES = 400_000, 500_000
-#: Words of more bytes are cut; parts of more bytes take their rounds in a table.
+#: Words of more bytes are encoded in windows; windows of more bytes take their rounds in a table.
 LONG = 100
+#: Bytes from one window to the next, at first, and of windows that one query gets.
+STEP, WINDOW_BYTES = 48, 50_000
 #: Ids that one query decodes; rows that are encoded at once.
 DECODED_IDS, SLICE = 1_000_000, 512
 
@@ -55,7 +61,7 @@ FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING
 ORDER BY word, pos
 """
 
-#: One round of long words: all of a word's pairs of its least rank go at once, of overlapping ones every other.
+#: One round of long windows: all of a word's pairs of its least rank go at once, of overlapping ones every other.
 ROUND = """
 SELECT word, pos, CASE WHEN take THEN made ELSE sym END AS sym, least_made IS NULL AS done
 FROM (
@@ -101,7 +107,9 @@ class Codec:
         self.one = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.seen, self.known = Memory(REMEMBERED), Memory(REMEMBERED)  # ids (32-bit) by piece, by pre-token
-        self.cutter: Cutter | None = None
+        self.bytes = {r: t for t, r in self.ranks.items()}
+        self.size = np.zeros(max(self.bytes) + 1, dtype=np.int64)
+        self.size[list(self.bytes)] = list(map(len, self.bytes.values()))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = [
             (self.ranks[t[:k]], self.ranks[t[k:]], r)
@@ -119,7 +127,7 @@ class Codec:
         self.db.unregister("_rows")
 
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, by one recursive query, or by rounds in a table if a word is long."""
+        """Ids of each word, by one recursive query, or by rounds in a table if one is longer than ``LONG``."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(sizes)
         sym = self.one[np.frombuffer(b"".join(words), dtype=np.uint8)]
@@ -142,38 +150,78 @@ class Codec:
         word, sym = np.asarray(found["word"]), np.asarray(found["sym"], dtype=np.int32)
         return np.split(sym, np.flatnonzero(word[1:] != word[:-1]) + 1)
 
+    def contracted(self, words: list[bytes], at_once: int) -> list[np.ndarray]:
+        """Ids of each word, by queries of at most ``at_once`` bytes or one word, words of like length together."""
+        out: list = [None] * len(words)
+        group, n = [], 0
+        for j in [*sorted(range(len(words)), key=lambda j: len(words[j])), None]:
+            size = 0 if j is None else len(words[j])
+            if group and (j is None or n + size > at_once):
+                for k, got in zip(group, self.contract([words[k] for k in group]), strict=True):
+                    out[k] = got
+                group, n = [], 0
+            if j is not None:
+                group.append(j)
+                n += size
+        return out
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, 32 bits each.  A word that is a token by itself is that token."""
         out: list = [None] * len(words)
-        parts: list[tuple[int, bytes]] = []
+        short = []
         for i, w in enumerate(words):
             if (r := self.ranks.get(w)) is not None:
                 out[i] = r.to_bytes(4, "little")
             elif len(w) <= LONG:
-                parts.append((i, w))
+                short.append(i)
             else:
-                self.cutter = self.cutter or Cutter(self.ranks)
-                parts += [(i, p) for p in self.cutter.cut(w)]
-        ids: dict[int, list[bytes]] = {}
-        # many parts in a query: first the short ones, then the long ones
-        found: list[bytes] = [b""] * len(parts)
-        group, n = [], 0
-        order = sorted(range(len(parts)), key=lambda j: len(parts[j][1]))
-        for j in [*order, None]:
-            size = 0 if j is None else len(parts[j][1])
-            if group and (j is None or n + size > QUERY_BYTES or size > LONG >= len(parts[group[-1]][1])):
-                for k, got in zip(group, self.contract([parts[k][1] for k in group]), strict=True):
-                    found[k] = got.tobytes()
-                group, n = [], 0
-            if j is not None:
-                group.append(j)
-                n += size
-        for (i, _), got in zip(parts, found, strict=True):
-            ids.setdefault(i, []).append(got)
-        for i, got in ids.items():
-            out[i] = b"".join(got)
+                out[i] = self.encode_long(w)
+        for i, got in zip(short, self.contracted([words[i] for i in short], QUERY_BYTES), strict=True):
+            out[i] = got.tobytes()
         return out
 
+    def encode_long(self, word: bytes) -> bytes:
+        step = STEP
+        while (found := self.joined(word, step)) is None:
+            step *= 8
+        return found
+
+    def joined(self, word: bytes, step: int) -> bytes | None:
+        """Ids of ``word`` from windows of ``2 * step`` bytes, one each ``step``; None if some can't be joined."""
+        windows = [word[s : s + 2 * step] for s in range(0, max(len(word) - step, 1), step)]
+        distinct = list(dict.fromkeys(windows))
+        ids = dict(zip(distinct, self.contracted(distinct, WINDOW_BYTES), strict=True))
+        # for each two windows in a row, the places where both have a boundary, from the middle of what they share:
+        # the number of ids of the first before it, and of the second, at least one
+        places: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+        for pair in dict.fromkeys(zip(windows, windows[1:])):
+            ends = np.cumsum(self.size[ids[pair[0]]]) - step
+            begins = np.cumsum(self.size[ids[pair[1]]])[:-1]
+            at, i, j = np.intersect1d(ends, begins, assume_unique=True, return_indices=True)
+            near = np.argsort(np.abs(at - step // 2), kind="stable")
+            places[pair] = list(zip((i[near] + 1).tolist(), (j[near] + 1).tolist(), strict=True))
+        chosen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+        rest = list(places)
+        while rest:
+            if any(not places[p] for p in rest):
+                return None
+            meet = {p: (int(ids[p[0]][places[p][0][0] - 1]), int(ids[p[1]][places[p][0][1]])) for p in rest}
+            pairs = list(set(meet.values()))
+            found = self.contracted([self.bytes[a] + self.bytes[b] for a, b in pairs], WINDOW_BYTES)
+            fit = {p for p, got in zip(pairs, found, strict=True) if got.tolist() == list(p)}
+            for p in rest:
+                place = places[p].pop(0)
+                if meet[p] in fit:
+                    chosen[p] = place
+            rest = [p for p in rest if p not in chosen]
+        out, first = [], 0
+        for pair in zip(windows, windows[1:]):
+            end, following = chosen[pair]
+            out.append(ids[pair[0]][first:end].tobytes())
+            first = following
+        out.append(ids[windows[-1]][first:].tobytes())
+        return b"".join(out)
+
     def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
         """Bytes of each sequence of ids."""
         out: list[bytes] = [b""] * len(sequences)
@@ -238,7 +286,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     """``(doc_id, ids)``: the ids of each text.
 
     Null text counts as empty: no ids.  Texts and words of any length are
-    encoded whole, in bounded memory beside the text's own.  Ids may repeat or
+    encoded whole; beside the text, its windows and its ids, memory is bounded
+    unless a word's windows can't be joined until they are long.  Ids may repeat or
     be null; every row gives a row; an empty table gives none; other columns
     are ignored.  There is no shuffle.
     """

@@ -175,3 +175,26 @@ def test_plan_of_many_lengths_is_close_to_the_bound():
     lengths = Counter(np.clip(rng.lognormal(6, 1, 50_000).astype(int), 1, 4096).tolist())
     n = max(s + k for _, _, k, s, _ in packing.plan(lengths))
     assert n <= 1.02 * sum(x * k for x, k in lengths.items()) / 4096
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "-=", "aeinrst", "=", "的一是不了人", "ÿ"])
+def test_codec_of_long_words(codec, encoding, letters):
+    """Words in windows: random and periodic, of lengths about a window's and far beyond it."""
+    rng = np.random.default_rng(5)
+    for n in (40, 95, 96, 97, 143, 144, 145, 700, 9_001):
+        for word in ("".join(rng.choice(list(letters), n)), (letters * n)[:n]):
+            got = np.frombuffer(codec.encode_words([word.encode()])[0], "<i4").tolist()
+            assert got == encoding._encode_single_piece(word.encode())
+
+
+def test_codec_makes_windows_longer_that_do_not_fit(codec, encoding):
+    word = ("=" * 997 + "-") * 7
+    assert codec.joined(("=" * 1_000).encode(), 48) is None
+    assert np.frombuffer(codec.encode_words([word.encode()])[0], "<i4").tolist() == encoding._encode_single_piece(word.encode())
+
+
+def test_codec_of_a_word_of_millions_of_letters(codec):
+    word = "a" * 3_000_000
+    (ids,) = codec.encode([word])
+    assert codec.decode([ids]) == [word.encode()]
+    assert ids.tolist() == codec.encode(["a" * 3_000])[0].tolist() * 1_000
