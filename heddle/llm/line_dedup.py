@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.operators.components import connected, extended
 from heddle.session import free, materialize
@@ -37,7 +38,7 @@ SHORT_WORDS, SHORT_BLOCKS, PART_WORDS = 16, 3, 96
 OVERLAP = 1.2
 #: Bits of a lane, and words that are counted together: no more than a lane can hold.
 LANE, PIECE_WORDS = 12, 4095
-#: Buckets of more classes are split further, by each other block and by length, and what is still larger goes through hubs first.
+#: Buckets of more classes are split further, by length, and what is still larger goes through hubs first.
 LARGE = 64
 #: Rounds of hubs before what is still apart in a large bucket is compared with all of it.
 HUB_ROUNDS = 2
@@ -182,52 +183,38 @@ def _members(sims: DataFrame) -> DataFrame:
     return blocks.where(own[0] > 0).select(F.xxhash64("part", "block", *own).alias("key"), "block", "node", "len", "part", "counts", "w0", "w1")
 
 
-def _with_others(members: DataFrame) -> DataFrame:
-    """``members`` once for each other block, keyed by both."""
-    n_blocks = F.expr(f"CASE WHEN (shiftright(part, 20) & 1048575) = {SHORT_BLOCKS} THEN {SHORT_BLOCKS} ELSE {BLOCKS} END")
-    rows = members.select("*", F.explode(F.sequence(F.lit(1), n_blocks - 1)).alias("step"), n_blocks.alias("n_blocks"))
-    rows = rows.withColumn("other", F.expr("(block + step) % n_blocks"))
-    return rows.select(F.xxhash64("key", "other", *_lanes("other", "counts", "w0", "w1")).alias("key"), *MEMBER[1:])
-
-
 #: What a member of a bucket has.
 MEMBER = ["key", "node", "len", "w0", "w1"]
 
 
 def _sized(members: DataFrame) -> DataFrame:
     """``members`` of buckets of several classes, with the bucket's size ``n`` and two classes of it as hubs."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    return members.join(sizes, "key")
+    own = Window.partitionBy("key")
+    sized = members.select("*", F.count("*").over(own).alias("n"), F.min("node").over(own).alias("lo"), F.max("node").over(own).alias("hi"))
+    return sized.where("lo <> hi")
 
 
 def candidate_pairs(sims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(a, b, bits)`` of classes that share a block and are near, and the members of buckets too large to be expanded.
 
-    A large bucket's block is one of frequent words.  It is split by each other
-    block, and what is still large by bands of length, two for each member, so
-    that no pair of near lengths is parted.  What is large even then has hubs
-    here: each member's pair with the bucket's first class and with its last
-    one; :func:`components` compares the rest of it.
+    A large bucket's block is one of frequent words.  It is split by bands of
+    length, two for each member, so that no pair of near lengths is parted.
+    What is large even then has hubs here: each member's pair with the bucket's
+    first class and with its last one; :func:`components` compares the rest of it,
+    so that a pair needs one shared block only, however large its bucket.
     """
     buckets = materialize(_sized(_members(sims).select(MEMBER)), "line-buckets")
-    few = buckets.where(F.col("n") <= LARGE)
-    frequent = materialize(buckets.where(F.col("n") > LARGE).select("key").distinct(), "line-frequent")
-    if small_enough(frequent, BROADCAST_ROWS):
-        frequent = F.broadcast(frequent)
-    split = materialize(_sized(_with_others(_members(sims).join(frequent, "key", "left_semi"))), "line-splits")
     band = F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(BAND))).cast("int")
-    banded = split.where(F.col("n") > LARGE).select("*", F.explode(F.array(band, band + 1)).alias("band"))
+    banded = buckets.where(F.col("n") > LARGE).select("*", F.explode(F.array(band, band + 1)).alias("band"))
     banded = materialize(_sized(banded.select(F.xxhash64("key", "band").alias("key"), *MEMBER[1:])), "line-bands")
-    small = few.select(MEMBER)
-    for part in (split, banded):
-        small = small.union(part.where(F.col("n") <= LARGE).select(MEMBER))
+    small = buckets.where(F.col("n") <= LARGE).select(MEMBER).union(banded.where(F.col("n") <= LARGE).select(MEMBER))
     large = materialize(banded.where(F.col("n") > LARGE), "line-large")
     pairs = _ordered(small.alias("x").join(small.alias("y"), "key").where("x.node < y.node").where(_near("x", "y")))
     for end in ("lo", "hi"):
         hubs = large.where(F.col("node") == F.col(end)).select(MEMBER).distinct()
         pairs = pairs.union(_ordered(large.alias("x").join(hubs.alias("y"), "key").where(_near("x", "y"))))
     pairs = materialize(_once(pairs), "line-pairs")
-    free(buckets, split, banded)
+    free(buckets, banded)
     return pairs, large
 
 

@@ -285,3 +285,24 @@ def test_pairs_of_lines_in_one_large_bucket(spark, n):
     want = lines_brute(docs)
     got = {r["doc_id"]: r["n_lines"] - r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {i: len(want[i]) for i in range(2 * n)} and sum(got.values()) == n
+
+
+def test_twins_that_share_one_block_only_in_a_large_bucket(spark):
+    """All lines have one block alike; twins, within the bits allowed, have no other one in common, and are far from all others."""
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(map(chr, rng.integers(97, 123, 6))) for _ in range(12_000)})
+    by_block = defaultdict(list)
+    for w in words:
+        by_block[next(iter(own_sims([w] * 16)[0, 5, 0]))].append(w)
+    fixed, rows = by_block[0][:12], []
+    while len(rows) < 80:
+        own = [[by_block[k].pop() for _ in range(15)] for k in range(1, 5)]
+        twin = [[by_block[k][0], *ws[1:]] for k, ws in enumerate(own, 1)]
+        x, y = ([*fixed, *(w for ws in o for w in ws)] for o in (own, twin))
+        a, b = own_sims(x)[0, 5, 0], own_sims(y)[0, 5, 0]
+        if sum(a[k] == b[k] for k in range(5)) == 1 and sum((a[k][1] ^ b[k][1]).bit_count() for k in range(5)) <= 14:
+            rows += [(len(rows), " ".join(x)), (len(rows) + 1, " ".join(y))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = lines_brute(docs)
+    got = {r["doc_id"]: r["n_lines"] - r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: len(want[i]) for i in range(80)} and sum(got.values()) == 40
