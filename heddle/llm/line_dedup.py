@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from heddle.operators.components import connected, extended
 from heddle.session import free, materialize
 
-from .common import small_enough, table
+from .common import table
 
 LEAST_SIMILARITY = 0.9
 #: Blocks of a SimHash, bits of each, and differing bits of two candidates' SimHashes.
@@ -46,8 +46,6 @@ HUB_ROUNDS = 2
 BAND = 1 / LEAST_SIMILARITY + 0.001
 #: Classes of a bucket that one task compares with the others.
 APART = 2_048
-#: Narrow rows that may be broadcast; more are shuffled.
-BROADCAST_ROWS = 100_000
 
 _UNITS = sum(1 << (LANE * i) for i in range(BLOCKS))
 _HALF = (1 << (LANE - 1)) - 1
@@ -76,11 +74,15 @@ def normal(line: Column) -> Column:
     return F.array_join(line_words(line), " ")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row_key, text)`` of documents with an id and a text."""
+    rows = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull())
+    return rows.select(docs["doc_id"].alias("doc_id"), _now(F.xxhash64(docs["doc_id"], docs["text"])).alias("row_key"), docs["text"].alias("text"))
+
+
 def raw_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, row_key, pos, line)`` for each line of documents with an id and a text."""
-    rows = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull())
-    rows = rows.select(docs["doc_id"].alias("doc_id"), _now(F.xxhash64(docs["doc_id"], docs["text"])).alias("row_key"), F.split(docs["text"], "\n").alias("lines"))
-    return rows.select("doc_id", "row_key", F.posexplode("lines").alias("pos", "line"))
+    return _keyed(docs).select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def _levels(n: Column) -> Column:
@@ -219,12 +221,17 @@ def candidate_pairs(sims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, norm)`` of the given classes, as a written table: the only texts that travel."""
-    wanted = materialize(classes.join(nodes.select("node").distinct(), "node").select("node", "doc_id", "row_key", "pos"), "line-wanted")
-    if small_enough(wanted, BROADCAST_ROWS):
-        wanted = F.broadcast(wanted)
-    found = raw_lines(docs).join(wanted, ["doc_id", "row_key", "pos"]).select("node", normal(F.col("line")).alias("norm"))
-    return materialize(found.dropDuplicates(["node"]), "line-texts")
+    """``(node, norm)`` of the given classes, as a written table.
+
+    Documents meet their wanted lines as a whole and are cut only then, so that other lines are no rows.
+    """
+    wanted = classes.join(nodes.select("node").distinct(), "node").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("pos", "node")).alias("places"))
+    wanted = materialize(wanted, "line-wanted")
+    found = _keyed(docs).join(wanted, ["doc_id", "row_key"]).select("places", _now(F.split("text", "\n")).alias("lines"))
+    found = found.select(F.explode(F.transform("places", lambda p: F.struct(p["node"].alias("node"), F.get("lines", p["pos"]).alias("line")))).alias("at"))
+    texts = materialize(found.select("at.node", normal(F.col("at.line")).alias("norm")).dropDuplicates(["node"]), "line-texts")
+    free(wanted)
+    return texts
 
 
 def _cores(pairs: DataFrame) -> DataFrame:
@@ -263,6 +270,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def components(docs: DataFrame, classes: DataFrame, sims: DataFrame) -> DataFrame:
     """``(node, component)`` for the classes with a link."""
     pairs, large = candidate_pairs(sims)
+    free(sims)
     texts = _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")))
     # the nearest pair of each class first; then only what is still apart, or near copies would be compared over and over
     links = _verified(pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b", "best.bits"), texts)
@@ -271,7 +279,10 @@ def components(docs: DataFrame, classes: DataFrame, sims: DataFrame) -> DataFram
     apart = apart.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     rest = _verified(apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "bits"), texts)
     labels = extended(labels, rest)
-    return _linked_in_large(large.select(MEMBER), labels, texts)
+    free(pairs, links, rest)
+    labels = _linked_in_large(large.select(MEMBER), labels, texts)
+    free(large, texts)
+    return labels
 
 
 def _linked_in_large(large: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -290,6 +301,7 @@ def _linked_in_large(large: DataFrame, labels: DataFrame, texts: DataFrame) -> D
         main = main.select("key", F.col("main.label").alias("main"), F.expr(f"1 + n div {APART}").cast("int").alias("shares"))
         main = materialize(main, "line-mains")
         if main.isEmpty():
+            free(main)
             return labels
         if k < HUB_ROUNDS:
             hubs = sizes.join(main, "key").where("label <> main").groupBy("key").agg(F.max(F.struct("n", "hub")).alias("h"))
@@ -304,6 +316,7 @@ def _linked_in_large(large: DataFrame, labels: DataFrame, texts: DataFrame) -> D
         new = _verified(_once(_ordered(new.where(_near("x", "y")))), texts)
         if not new.isEmpty():
             labels = extended(labels, new)
+        free(main, new)
     return labels
 
 
@@ -320,10 +333,13 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = materialize(classes, "line-classes")
     sims = rows.join(classes.select("node", "doc_id", "row_key", "pos"), ["doc_id", "row_key", "pos"])
     sims = materialize(sims.select("node", "len", "part", "counts", "w0", "w1"), "line-signatures")
-    linked = classes.join(components(docs, classes, sims), "node", "left")
+    labels = components(docs, classes, sims)
+    linked = classes.join(labels, "node", "left")
     # classes that occur once and have no link lose nothing
     several = linked.where("several or component is not null").withColumn("component", F.coalesce("component", "node"))
-    return rows, materialize(several.select("d1", "d2", "component", "doc_id", "pos"), "line-groups")
+    several = materialize(several.select("d1", "d2", "component", "doc_id", "pos"), "line-groups")
+    free(classes, labels)
+    return rows, several
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -333,7 +349,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     verdict = several.join(keepers, "component").select("d1", "d2", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.pos").alias("keep_pos"))
     gone = rows.select("doc_id", "row_key", "pos", "d1", "d2").join(verdict, ["d1", "d2"])
     gone = gone.where((F.col("doc_id") != F.col("keep_doc")) | (F.col("pos") != F.col("keep_pos")))
-    return gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("drops"))
+    drops = materialize(gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("drops")), "line-drops")
+    free(rows, several)
+    return drops
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -354,12 +372,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.struct(*(docs[c] for c in own)).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key")
     )
     joined = keyed.join(drops, ["doc_id", "row_key"], "left")
-    lines = F.split("row.text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
-    text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    # split once, not again for each line that stays
+    joined = joined.select("row", "drops", _now(F.split("row.text", "\n")).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     return joined.select(
         *(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in own),
-        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ from compare import oracle, same
 from pyspark.sql import functions as F
 
 from heddle.llm import catalog, exact_dedup, jaccard_join, line_dedup
+from heddle.session import shared_dir
 
 DUCK = duckdb.connect()
 
@@ -306,3 +308,13 @@ def test_twins_that_share_one_block_only_in_a_large_bucket(spark):
     want = lines_brute(docs)
     got = {r["doc_id"]: r["n_lines"] - r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {i: len(want[i]) for i in range(80)} and sum(got.values()) == 40
+
+
+def test_lines_free_their_tables(spark):
+    """Of the line tables only the positions that go are left for the result, which reads them."""
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "heddle"
+    before = set(folder.glob("line-*"))
+    docs = spark.createDataFrame([(1, "one line of some words\nanother"), (2, "one line of some words")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: "one line of some words\nanother", 2: ""}
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.glob("line-*")) - before] == ["line-drops"]
