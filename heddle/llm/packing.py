@@ -34,6 +34,8 @@ VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
 #: Lengths from this share of the capacity are large; so many groups of them.
 LARGE_SHARE, GROUPS = 1 / 4, 200
 REMEMBERED, LONGEST_KEY, SLICE = 600_000, 64, 1024
+#: Words that are encoded as one string.
+JOINED = 512
 #: Rows that share a salt when documents of one length are numbered.
 ROWS_A_SALT = 20_000
 
@@ -52,9 +54,12 @@ class Encoder:
     def __init__(self, path: str):
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lower-case ASCII pre-tokens between blanks, to which normalisation and byte-level letters do nothing
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was remembered before ``seen`` was last emptied
         self.words = re.compile(f"[^{WHITE}]+").findall
@@ -73,29 +78,51 @@ class Encoder:
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self.words(text)
         # the tokenizer's own lower case, but once for all; words then repeat more often
+        if text.isascii():
+            return text.split() if "<|" in text else text.lower().split()
         return text.split() if self.odd(text) else text.lower().split()
 
     def learn(self, new: list[str]) -> None:
-        plain, sizes, odd = [], [], []
+        """Remembers the ids of ``new`` words."""
+        simple, blanked, simple_sizes, plain, sizes, odd = [], [], [], [], [], []
         for w in new:
-            if self.plain(w) and "<|" not in w:
-                plain.append(w)
-                sizes.append(len(self.parts(w)))
+            ascii = w.isascii() and w.islower()
+            if ascii and w.isalpha():
+                simple.append(w)
+                blanked.append(w)
+                simple_sizes.append(1)
+            elif self.plain(w) and "<|" not in w:
+                parts = self.parts(w)
+                if ascii:
+                    simple.append(w)
+                    blanked += parts
+                    simple_sizes.append(len(parts))
+                else:
+                    plain.append(w)
+                    sizes.append(len(parts))
             else:
                 odd.append(w)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            bounds = np.flatnonzero(self.ends[ids])[np.cumsum(sizes[at : at + 4096]) - 1] + 1
-            if bounds[-1] != len(ids):
-                raise AssertionError("a plain word has other pre-tokens than expected")
-            data, bounds = ids.tobytes(), [0, *(4 * bounds).tolist()]
-            self.seen.update((w, data[a:b]) for w, a, b in zip(part, bounds, bounds[1:], strict=False))
+        self._learn_joined(self.model, simple, simple_sizes, blanked)
+        self._learn_joined(self.tokenizer, plain, sizes, None)
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.seen[w] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def _learn_joined(self, tokenizer, words: list[str], sizes: list[int], parts: list[str] | None) -> None:
+        """Encodes ``words``, or else their ``parts``, many at a time; ``sizes`` are their numbers of pre-tokens."""
+        first = 0
+        for at in range(0, len(words), JOINED):
+            own, counts = words[at : at + JOINED], np.cumsum(sizes[at : at + JOINED])
+            joined = " ".join(own if parts is None else parts[first : first + int(counts[-1])])
+            first += int(counts[-1])
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != counts[-1] or ends[-1] + 1 != len(ids):
+                raise AssertionError("a plain word has other pre-tokens than expected")
+            data, bounds = ids.tobytes(), [0, *(4 * (ends[counts - 1] + 1)).tolist()]
+            self.seen.update((w, data[a:b]) for w, a, b in zip(own, bounds, bounds[1:], strict=False))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.split(t) for t in texts]

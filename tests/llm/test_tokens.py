@@ -143,6 +143,21 @@ def test_packing_of_odd_rows(odd, empty, texts, word_encoder):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_words_to_pack_like_the_library(word_encoder):
+    """Lower-case ASCII words are encoded by the model alone, all others by the whole tokenizer; ids are the library's."""
+    rng = np.random.default_rng(7)
+    letters = list("etaoinshrdlcumw") + list("0179.,-&!#(<|")
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(3_000)] + ["it's", "x" * 90, "1", "12", "&&", "<|endoftext|>", "été", "über-12", "naïve"]
+    texts = [" ".join(words[a : a + 50]) for a in range(0, len(words), 50)]
+    want = [word_encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    fresh = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in fresh.encode(texts)] == want
+    fresh.seen.clear()
+    fresh.tokenizer = None  # not asked for these
+    text = "these are plain words, 2x as quick"
+    assert np.frombuffer(fresh.encode([text])[0], dtype="<u4").tolist() == word_encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_query(spark, small, word_encoder):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     rows = packing.query(spark, small).collect()
