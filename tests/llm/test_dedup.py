@@ -12,6 +12,7 @@ import regex
 from compare import oracle, same
 from pyspark.sql import functions as F
 
+from heddle import session
 from heddle.llm import catalog, exact_dedup, jaccard_join, line_dedup
 from heddle.session import shared_dir
 
@@ -318,3 +319,18 @@ def test_lines_free_their_tables(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {1: "one line of some words\nanother", 2: ""}
     assert [p.name.rsplit("-", 1)[0] for p in set(folder.glob("line-*")) - before] == ["line-drops"]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Shuffle files go with the query that wrote the table, and the session's own setting stays."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept():
+        files = manager.getAllFiles()
+        return {name for i in range(files.size()) if "shuffle" in (name := files.apply(i).getName())}
+
+    before, setting = kept(), spark.conf.get(session.FREE_SHUFFLES, None)
+    made = session.materialize(spark.range(10_000).groupBy((F.col("id") % 5_000).alias("k")).count(), "shuffled")
+    assert not kept() - before and spark.conf.get(session.FREE_SHUFFLES, None) == setting
+    assert made.count() == 5_000
+    session.free(made)
