@@ -227,9 +227,10 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     wanted = classes.join(nodes.select("node").distinct(), "node").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("pos", "node")).alias("places"))
     wanted = materialize(wanted, "line-wanted")
-    found = _keyed(docs).join(wanted, ["doc_id", "row_key"]).select("places", _now(F.split("text", "\n")).alias("lines"))
+    # of repeated rows one is enough; they are together already, so that texts of lines needn't be dealt out again
+    found = _keyed(docs).join(wanted, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"]).select("places", _now(F.split("text", "\n")).alias("lines"))
     found = found.select(F.explode(F.transform("places", lambda p: F.struct(p["node"].alias("node"), F.get("lines", p["pos"]).alias("line")))).alias("at"))
-    texts = materialize(found.select("at.node", normal(F.col("at.line")).alias("norm")).dropDuplicates(["node"]), "line-texts")
+    texts = materialize(found.select("at.node", normal(F.col("at.line")).alias("norm")), "line-texts")
     free(wanted)
     return texts
 

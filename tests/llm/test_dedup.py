@@ -334,3 +334,17 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert not kept() - before and spark.conf.get(session.FREE_SHUFFLES, None) == setting
     assert made.count() == 5_000
     session.free(made)
+
+
+def test_texts_of_repeated_rows_come_once(spark, monkeypatch):
+    """A class's text is one row, and isn't dealt out by class for that."""
+    written = {}
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: written.setdefault(label, df) if label == "line-texts" else session.materialize(df, label))
+    monkeypatch.setattr(line_dedup, "free", lambda *tables: None)
+    docs = spark.createDataFrame([(1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "g h")], "doc_id long, text string")
+    keyed = line_dedup._keyed(docs).distinct()
+    classes = keyed.select("doc_id", "row_key", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).where("doc_id = 1 or pos = 0")
+    classes = classes.withColumn("node", F.col("doc_id") * 10 + F.col("pos"))
+    got = line_dedup._texts(docs, classes, classes)
+    assert sorted(map(tuple, got.collect())) == [(10, "a b c"), (11, "d e f"), (20, "g h")]
+    assert "hashpartitioning(node" not in got._jdf.queryExecution().explainString(spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
