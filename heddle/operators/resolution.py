@@ -1,10 +1,9 @@
 """Entity resolution over a batch of documents, and the load of its result into the graph.
 
-Similar names are found through the vector index.  The greedy merge, in which a
-group joins the first earlier group that wasn't itself merged away, is worked
-out from the links alone: small connected parts of them are replayed in order,
-many in one task, and larger ones are decided in rounds over all links at once.
-No entity type, and no component, has to fit one task.
+Similar names are found by matrix products over blocks of each type.  The greedy
+merge, in which a group joins the first earlier group that wasn't itself merged
+away, is worked out from the links alone, replayed in order in blocks of bounded
+size.  No entity type, and no component, has to fit one task.
 """
 
 from __future__ import annotations
@@ -15,63 +14,81 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.functions import text as X
-from heddle.operators import extraction, vector_index
+from heddle.operators import extraction, vector_blocks
 from heddle.operators.components import connected
 from heddle.operators.graph import endpoints, load_edges, require_unique
 from heddle.schemas import SIMILARITY_THRESHOLD
 from heddle.session import free, materialize
 from heddle.sources.files import exists, rewrite_parts
 
-#: Links of components that one task replays; parts of the edge table by document.
-REPLAY, BUCKETS = 50_000, 64
+#: Links that one task replays; parts of the edge table by document.
+REPLAY, BUCKETS = 400_000, 64
 
 VERTICES = "entity_type string, name string, embedding array<double>"
 EDGES = "source_type string, source_name string, relation_type string, target_type string, target_name string, chunk_id string, document_id string"
 
 
 def replayed(links: pd.DataFrame) -> pd.DataFrame:
-    """Of whole components, the later ends that an earlier group absorbs."""
-    absorbed: set = set()
-    for b, earlier in links.sort_values("b").groupby("b", sort=False)["a"]:
-        if any(a not in absorbed for a in earlier):
+    """The later ends that an earlier group absorbs, and those that are ``decided`` to be."""
+    absorbed: set = set(links.loc[links["decided"], "b"])
+    links = links[~links["decided"]].sort_values("b", kind="stable")
+    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+        if b not in absorbed and a not in absorbed:  # all links to a come before
             absorbed.add(b)
     return pd.DataFrame({"b": list(absorbed)}, dtype=links["b"].dtype)
 
 
-def absorbed_groups(links: DataFrame, replay: int = REPLAY) -> DataFrame:
+def absorbed_groups(links: DataFrame, replay: int = REPLAY, by: str | None = None) -> DataFrame:
     """``(b)``: the groups that don't lead, from all links ``(a, b)`` between similar groups, ``a`` before ``b``.
 
     A group leads if no earlier leader is linked to it; so the first group of
     each component leads, what it is linked to doesn't, and so on in order.
+    Links of different ``by``, or else components, don't touch.  Each is cut, in
+    order, into blocks of about ``replay`` links; a step takes the next block of
+    all of them, in bins of about as many: what led before decides first, and
+    then the block's own links are replayed.
     """
     kind = dict(links.dtypes)["b"]
     links = materialize(links.distinct(), "links")
-    if links.limit(replay + 1).count() <= replay:  # all components fit one task
-        return links.groupBy(F.lit(0).alias("bin")).applyInPandas(lambda key, g: replayed(g), f"b {kind}")
-    part = links.join(connected(links), links["b"] == F.col("node")).select("a", "b", "component")
-    sizes = materialize(part.groupBy("component").agg(F.count("*").alias("n")), "link-sizes")
-    small = sizes.where(F.col("n") <= replay)
-    bins = -(-(small.agg(F.sum("n")).first()[0] or 0) // replay) + 1
-    few = part.join(small, "component").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins)))
-    done = materialize(few.groupBy("bin").applyInPandas(lambda key, g: replayed(g), f"b {kind}"), "absorbed")
-    live = materialize(part.join(sizes.where(F.col("n") > replay), "component", "left_semi").select("a", "b"), "live")
-    while not live.isEmpty():
-        # who waits for no earlier group leads; whoever is linked to it is absorbed; both leave with their links
-        first = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = materialize(live.join(first, "a", "left_semi").select("b").distinct(), "absorbed")
-        rest = live.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").join(first, "a", "left_anti")
-        last, live = live, materialize(rest.select("a", "b"), "live")
-        free(last)
-        done = done.union(gone)
+    total = links.count()
+    if total <= replay:  # all components fit one task
+        return links.select("a", "b", F.lit(False).alias("decided")).groupBy(F.lit(0).alias("bin")).applyInPandas(lambda key, g: replayed(g), f"b {kind}")
+    if by:
+        part = links.withColumnRenamed(by, "component")
+    else:
+        part = links.join(connected(links), links["b"] == F.col("node")).select("a", "b", "component")
+    counts = part.groupBy("component", "b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("component").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select("component", "b", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / replay).alias("step"))
+    ends = materialize(placed, "ends")
+    starts = ends.select("component", F.col("b").alias("a"), F.col("step").alias("a_step"))
+    part = part.join(ends.hint("merge"), ["component", "b"]).join(starts.hint("merge"), ["component", "a"], "left")
+    part = materialize(part.select("component", "a", "b", "step", F.coalesce("a_step", F.lit(-1)).alias("a_step")), "placed-links")
+    steps = [r[0] for r in ends.select("step").distinct().orderBy("step").collect()]  # links of the largest component by a block's
+    free(links, ends)
+    bin_ = F.pmod(F.xxhash64("component"), F.lit(4 * -(-total // replay))).alias("bin")
+    done = None
+    for step in steps:
+        own = part.where(F.col("step") == step)
+        inner = own.where(F.col("a_step") == step).select(bin_, "a", "b", F.lit(False).alias("decided"))
+        led = own.where(F.col("a_step") < step)
+        led = led if done is None else led.join(done.select(F.col("b").alias("a")).hint("merge"), "a", "left_anti")
+        led = led.select(bin_, F.col("b").alias("a"), "b", F.lit(True).alias("decided")).distinct()
+        gone = inner.union(led).groupBy("bin").applyInPandas(lambda key, g: replayed(g), f"b {kind}")
+        last, done = done, materialize(gone if done is None else done.union(gone), "absorbed")
+        if last is not None:
+            free(last)
+    free(part)
     return done
 
 
-def greedy_leaders(links: DataFrame, replay: int = REPLAY) -> DataFrame:
+def greedy_leaders(links: DataFrame, replay: int = REPLAY, by: str | None = None) -> DataFrame:
     """``(pos, leader_pos)`` of the groups that are absorbed: each joins the first leader that is linked to it."""
-    gone = materialize(absorbed_groups(links, replay), "absorbed")
-    leading = links.join(gone.select(F.col("b").alias("a")), "a", "left_anti").join(gone, "b", "left_semi")
+    gone = materialize(absorbed_groups(links, replay, by), "gone")
+    leading = links.join(gone.select(F.col("b").alias("a")).hint("merge"), "a", "left_anti").join(gone.hint("merge"), "b", "left_semi")
     return leading.groupBy(F.col("b").alias("pos")).agg(F.min("a").alias("leader_pos"))
 
 
@@ -106,17 +123,20 @@ def resolve_entities(
 
     asked = fresh.select(F.col("pos").alias("query_id"), "entity_type", "embedding")
     old = existing.select(F.col("name").alias("id"), "entity_type", F.col("embedding").cast("array<double>").alias("embedding"))
-    near = vector_index.near_pairs(asked, indexed(old), threshold, ("entity_type",))
+    nearest = lambda q, v, order: vector_blocks.best(q, v, order, 1, threshold)
+    near = vector_blocks.compared(asked, old, nearest, ("entity_type",))
     best = near.groupBy("query_id").agg(F.min_by("id", F.struct((-F.col("score")).alias("loss"), "id")).alias("existing_name"))
-    merged = materialize(fresh.join(best, fresh["pos"] == best["query_id"]).drop("query_id"), "merged")
-    rest = materialize(fresh.join(merged.select("pos"), "pos", "left_anti"), "rest")
+    merged = materialize(best.hint("merge").join(fresh, fresh["pos"] == best["query_id"]).drop("query_id"), "merged")
+    rest = materialize(fresh.join(merged.select("pos").hint("merge"), "pos", "left_anti"), "rest")
 
     own = rest.select(F.col("pos").alias("id"), "entity_type", "embedding")
-    links = vector_index.near_pairs(own.withColumnRenamed("id", "query_id"), indexed(own), threshold, ("entity_type",)).where("query_id < id")
-    leaders = greedy_leaders(materialize(links.select(F.col("query_id").alias("a"), F.col("id").alias("b")), "similar"))
-    rest = rest.join(leaders, "pos", "left").withColumn("leader_pos", F.coalesce("leader_pos", "pos"))
+    linked = lambda q, v, order: vector_blocks.near(q, v, threshold)
+    links = vector_blocks.compared(own.withColumnRenamed("id", "query_id"), own, linked, ("entity_type",), earlier=True)
+    links = materialize(links.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "entity_type"), "similar")
+    leaders = greedy_leaders(links, by="entity_type")
+    rest = rest.join(leaders.hint("merge"), "pos", "left").withColumn("leader_pos", F.coalesce("leader_pos", "pos"))
     first = rest.where("pos = leader_pos").select("leader_pos", F.col("canonical_name").alias("leader_name"), F.col("embedding").alias("leader_embedding"))
-    rest = rest.join(first, "leader_pos").withColumn("canonical_name", F.col("leader_name")).withColumn("embedding", F.col("leader_embedding"))
+    rest = rest.join(first.hint("merge"), "leader_pos").withColumn("canonical_name", F.col("leader_name")).withColumn("embedding", F.col("leader_embedding"))
 
     late = F.lit(True).alias("late")
     merged = merged.withColumn("canonical_name", F.col("existing_name")).withColumn("is_new", F.lit(False)).withColumn("leader_pos", F.col("pos"))
@@ -124,12 +144,6 @@ def resolve_entities(
     return materialize(out, "resolved")
 
 
-def indexed(vectors: DataFrame) -> vector_index.VectorIndex:
-    """An index in written intermediate tables."""
-    centres = vector_index.fit_cells(vectors)
-    return vector_index.VectorIndex.of(materialize(vector_index.assigned(vectors, centres), "lists"), centres)
-
-
 def canonical_names(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
     """``(raw_name, entity_type, canonical_name)``: one row for each raw name, as mentions give no type.
 
@@ -138,9 +152,9 @@ def canonical_names(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     order = F.struct("late", "leader_pos")
     raw = candidates.select(F.col("name").alias("raw_name"), "entity_type", X.normalize_name(F.col("name")).alias("key")).distinct()
-    names = raw.join(resolved, ["key", "entity_type"]).groupBy("raw_name").agg(F.max_by("canonical_name", order).alias("canonical_name"))
+    names = raw.join(resolved.hint("merge"), ["key", "entity_type"]).groupBy("raw_name").agg(F.max_by("canonical_name", order).alias("canonical_name"))
     types = resolved.groupBy("canonical_name").agg(F.max_by("entity_type", order).alias("entity_type"))
-    return names.join(types, "canonical_name").select("raw_name", "entity_type", "canonical_name")
+    return names.join(types.hint("merge"), "canonical_name").select("raw_name", "entity_type", "canonical_name")
 
 
 @dataclass
