@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
+from heddle.operators import vector_blocks
 from heddle.schemas import RRF_K
 
 
@@ -142,6 +143,16 @@ def dense_pairs(queries: DataFrame, vectors: DataFrame, block: int = 256) -> Dat
     return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "query_id long, id long, score double")
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, score, rank)``: the ``k`` best of ``vectors(id, embedding)`` for each of ``queries(query_id, embedding)``, compared with all of them.
+
+    Each task keeps its ``k`` best of a query, so the table of all pairs is
+    never written, and nothing of either side passes the driver.
+    """
+    kept = vector_blocks.compared(queries, vectors, lambda q, v, order: vector_blocks.best(q, v, order, k))
+    return top_k(kept, k, by=["query_id"])
+
+
 def reciprocal_rank_fusion(rankings: Sequence[DataFrame], k: int = RRF_K, by: Sequence[str] = ()) -> DataFrame:
     """``(id, score, rank)`` from rankings ``(id, rank)``; ties keep the order of first appearance."""
     tagged = [r.select(*by, "id", "rank", F.lit(i).alias("source")) for i, r in enumerate(rankings)]

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from heddle.operators import resolution, vector_blocks
+from heddle.operators import evaluation, resolution, search, vector_blocks
 
 
 def cosine(a, b):
@@ -62,3 +62,26 @@ def test_leaders_of_two_kinds_in_blocks(spark):
         want |= {f"{k}{b:03d}": f"{k}{a:03d}" for b, a in leader.items() if a != b}
     got = {r["pos"]: r["leader_pos"] for r in resolution.greedy_leaders(links, 25, by="kind").collect()}
     assert got == want
+
+
+def test_nearest_keeps_no_table_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "VECTORS", 800)
+    monkeypatch.setattr(vector_blocks, "QUERIES", 40)
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(600, 8))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    kept = vector_blocks.compared(q, v, lambda q, v, order: vector_blocks.best(q, v, order, 3))
+    assert kept.count() <= 30 * 3 * 6  # of 30 * 600 pairs, three of each query and block
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = np.round(unit[::20] @ unit.T, 6)
+    want = {(20 * i, int(j), rank) for i in range(30) for rank, j in enumerate(np.lexsort((np.arange(600), -score[i]))[:3])}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in search.nearest(q, v, 3).collect()} == want
+
+
+def test_relevance_is_counted_by_label(spark):
+    labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "a")], "id long, label string")
+    queries = spark.createDataFrame([(1, "a"), (3, "b"), (9, "c")], "query_id long, label string")
+    found = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (9, 5)], "query_id long, id long")
+    got = {tuple(r) for r in evaluation.precision_recall(found, queries, labels).collect()}
+    assert got == {(1, 0.5, round(2 / 3, 6)), (3, 0.0, 0.0), (9, 0.0, 0.0)}
