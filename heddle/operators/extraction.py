@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import text as X
+from heddle.operators import vector_blocks
 from heddle.schemas import ENTITY_TYPES, EXTRACTION, RELATION_TYPES, SIMILARITY_THRESHOLD
 
 
@@ -92,13 +93,17 @@ def match_exact(groups: DataFrame, existing: DataFrame) -> DataFrame:
 def match_similar(unmatched: DataFrame, existing: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """The best existing entity of the same type for each of ``(pos, entity_type, embedding)``, from the threshold on.
 
-    Blocked by type; the best is kept while rows combine, so the pairs of a
-    block are never held.  Of equal scores the first existing one wins.
+    All of a type are compared, by matrix products in blocks of bounded size;
+    each task keeps a group's best.  Of equal scores the first existing one (by
+    ``pos``, unique in its type) wins; vectors of different lengths are similar to none.
     """
-    e = existing.select("entity_type", F.col("name").alias("existing_name"), F.col("pos").alias("existing_pos"), F.col("embedding").alias("other"))
-    scored = unmatched.join(e, "entity_type").withColumn("score", F.round(X.cosine(F.col("embedding"), F.col("other")), 6)).where(F.col("score") >= threshold)
-    best = F.max(F.struct("score", (-F.col("existing_pos")).alias("back"), "existing_name"))
-    return scored.groupBy("pos", "entity_type").agg(best.alias("b")).select("pos", "entity_type", F.col("b.existing_name").alias("existing_name"), F.col("b.score").alias("score"))
+    asked = unmatched.select(F.col("pos").alias("query_id"), "entity_type", "embedding")
+    own = existing.select(F.col("pos").alias("id"), "entity_type", "embedding")
+    near = vector_blocks.compared(asked, own, lambda q, v, order: vector_blocks.best(q, v, order, 1, threshold), ("entity_type",))
+    best = near.groupBy("query_id", "entity_type").agg(F.min(F.struct((-F.col("score")).alias("loss"), "id")).alias("b"))
+    best = best.select(F.col("query_id").alias("pos"), "entity_type", F.col("b.id").alias("existing_pos"), (-F.col("b.loss") + 0.0).alias("score"))
+    names = existing.select("entity_type", F.col("name").alias("existing_name"), F.col("pos").alias("existing_pos"))
+    return best.join(names, ["entity_type", "existing_pos"]).select("pos", "entity_type", "existing_name", "score")
 
 
 def absorb_greedily(unmatched: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from heddle.operators import evaluation, resolution, search, vector_blocks
+from heddle.operators import evaluation, extraction, resolution, search, vector_blocks
 
 
 def cosine(a, b):
@@ -85,3 +85,17 @@ def test_relevance_is_counted_by_label(spark):
     found = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (9, 5)], "query_id long, id long")
     got = {tuple(r) for r in evaluation.precision_recall(found, queries, labels).collect()}
     assert got == {(1, 0.5, round(2 / 3, 6)), (3, 0.0, 0.0), (9, 0.0, 0.0)}
+
+
+def test_the_most_similar_of_a_type_by_products(spark):
+    v = spark.createDataFrame([(i, "x" if i % 3 else "y", x.tolist()) for i, x in enumerate(np.random.default_rng(2).integers(0, 3, (80, 4)).astype(float))], "pos long, entity_type string, embedding array<double>")
+    new, old = v.where("pos % 4 = 0"), v.where("pos % 4 > 0").selectExpr("concat('v', pos) AS name", "entity_type", "pos", "embedding")
+    found = extraction.match_similar(new, old, 0.5)
+    assert "zip_with" not in found._jdf.queryExecution().toString()  # no expression over each pair
+    rows = v.collect()
+    want = {}
+    for a in rows:
+        near = [(-cosine(a["embedding"], b["embedding"]), b["pos"]) for b in rows if a["pos"] % 4 == 0 < b["pos"] % 4 and a["entity_type"] == b["entity_type"]]
+        if near and min(near)[0] <= -0.5:
+            want[a["pos"]] = (a["entity_type"], f"v{min(near)[1]}", -min(near)[0])
+    assert {r["pos"]: (r["entity_type"], r["existing_name"], r["score"]) for r in found.collect()} == want
