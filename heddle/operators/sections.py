@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions import text as X
-from heddle.session import materialize
 
 #: Parts of a page that hold no section text, elements that end a paragraph, and the named characters that are decoded.
 HIDDEN = ("head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form")
@@ -58,29 +57,39 @@ def sibling_ordinals(tree: DataFrame) -> DataFrame:
     return tree.withColumn("order_in_parent", F.row_number().over(w) - 1)
 
 
+def paths(tree: DataFrame) -> DataFrame:
+    """``(doc_id, pos, path, chunk_parent_pos)`` of the sections with text of ``(doc_id, slug, pos, title, text, parent_pos)``, a tree of :func:`heading_tree`.
+
+    One fold over each document's headings with an array of those that are open,
+    so that only labels travel, and no path but those returned is ever kept.
+    """
+    label = X.path_label(X.first_filled(X.clause_number(F.col("title")), F.col("title")))
+    heading = F.struct(F.col("pos").cast("int").alias("pos"), F.col("parent_pos").cast("int").alias("parent_pos"), label.alias("label"), (F.length("text") > 0).alias("has_text"), X.path_label(F.col("slug")).alias("slug"))
+    rows = tree.groupBy("doc_id").agg(F.sort_array(F.collect_list(heading)).alias("hs"))
+    start = F.struct(
+        F.array().cast("array<struct<pos:int,path:string,chunk:int>>").alias("open"), F.array().cast("array<struct<pos:int,path:string,chunk_parent_pos:int>>").alias("out")
+    )
+
+    def step(acc: Column, h: Column) -> Column:
+        open_ = F.filter(acc["open"], lambda s: s["pos"] <= h["parent_pos"])  # the parent comes last
+        above = F.get(open_, F.size(open_) - 1)
+        path = X.path_join(above["path"], h["label"])
+        here = F.struct(h["pos"].alias("pos"), path.alias("path"), F.when(h["has_text"], h["pos"]).otherwise(above["chunk"]).alias("chunk"))
+        chunk = F.struct(h["pos"].alias("pos"), X.path_join(h["slug"], path).alias("path"), above["chunk"].alias("chunk_parent_pos"))
+        return F.struct(F.array_append(open_, here).alias("open"), F.when(h["has_text"], F.array_append(acc["out"], chunk)).otherwise(acc["out"]).alias("out"))
+
+    folded = rows.select("doc_id", F.explode(F.aggregate("hs", start, step, lambda acc: acc["out"])).alias("o"))
+    return folded.select("doc_id", "o.pos", "o.path", "o.chunk_parent_pos")
+
+
 def build_chunks(tree: DataFrame) -> DataFrame:
-    """Chunks of a tree ``(doc_id, slug, pos, level, title, text, parent_pos)``.
+    """Chunks of a tree ``(doc_id, slug, pos, level, title, text, parent_pos)`` of :func:`heading_tree`.
 
     A section with text is a chunk.  Its path joins the labels of the headings
-    above it; its parent is the nearest ancestor with text.  Parents are followed
-    for all sections at once, until none has one left: as often as headings nest.
+    above it; its parent is the nearest ancestor with text.
     """
-    label = X.path_label(X.first_filled(X.clause_number(F.col("title")), F.col("title")))
-    node = materialize(sibling_ordinals(tree).withColumn("label", label), "sections")
-    up = node.select(F.col("doc_id").alias("a_doc"), F.col("pos").alias("a_pos"), F.col("label").alias("a_label"), F.col("parent_pos").alias("a_parent"), (F.length("text") > 0).alias("a_text"))
-    walk = node.where(F.length("text") > 0).select("doc_id", "pos", F.col("label").alias("path"), F.col("parent_pos").alias("above"), F.lit(None).cast("int").alias("chunk_parent_pos"))
-    done = walk.where("above is null")
-    open_ = materialize(walk.where("above is not null"), "walk")
-    while not open_.isEmpty():
-        step = open_.join(up, (F.col("doc_id") == F.col("a_doc")) & (F.col("above") == F.col("a_pos")))
-        found = F.coalesce("chunk_parent_pos", F.when(F.col("a_text"), F.col("a_pos")))
-        step = materialize(step.select("doc_id", "pos", X.path_join(F.col("a_label"), F.col("path")).alias("path"), F.col("a_parent").alias("above"), found.alias("chunk_parent_pos")), "walk")
-        done = done.unionByName(step.where("above is null"))
-        open_ = step.where("above is not null")
-    slug = X.path_label(F.col("slug"))
-    return node.join(done, ["doc_id", "pos"]).select(
-        "doc_id", "pos", "level", X.clause_number(F.col("title")).alias("clause_number"), "title", X.path_join(slug, F.col("path")).alias("path"),
-        "chunk_parent_pos", "order_in_parent", "text",
+    return sibling_ordinals(tree).join(paths(tree), ["doc_id", "pos"]).select(
+        "doc_id", "pos", "level", X.clause_number(F.col("title")).alias("clause_number"), "title", "path", "chunk_parent_pos", "order_in_parent", "text",
     )
 
 

@@ -44,3 +44,19 @@ def test_parents_are_followed_to_any_depth(spark):
     tree = sections.heading_tree(spark.createDataFrame(rows, "doc_id long, pos int, level int, title string, text string, slug string"))
     got = {r["pos"]: (r["path"], r["chunk_parent_pos"]) for r in sections.build_chunks(tree).collect()}
     assert got == {0: ("s.t0", None), n - 1: ("s." + ".".join(f"t{i}" for i in range(n)), 0)}
+
+
+def test_paths_need_no_more_than_labels(spark):
+    """One fold of labels by document, against a stack."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(d, i, rng.randrange(1, 5), rng.choice(["A", "B b", "1.2 c"]), rng.choice(["", "t"]), f"Doc {d}") for d in range(8) for i in range(rng.randrange(1, 30))]
+    stack, want = [], set()
+    for d, i, level, title, text, _slug in rows:
+        stack = [s for s in stack if s[0] == d and s[2] < level]
+        stack.append((d, i, level, {"A": "a", "B b": "b_b", "1.2 c": "1_2"}[title], text))
+        if text:
+            want.add((d, i, ".".join([f"doc_{d}", *(s[3] for s in stack)]), max((s[1] for s in stack[:-1] if s[4]), default=None)))
+    tree = sections.heading_tree(spark.createDataFrame(rows, "doc_id long, pos int, level int, title string, text string, slug string"))
+    assert {tuple(r) for r in sections.paths(tree).collect()} == want
